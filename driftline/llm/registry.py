@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from driftline.llm import quality_rules
+from driftline.llm import quality_classifier, quality_rules, sentencepieces, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_sentencepieces": sentencepieces.op3_sentencepieces,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
