@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from driftline.llm import quality_classifier, quality_rules, sentencepieces, toxicity
+from driftline.llm import mixing, quality_classifier, quality_rules, sentencepieces, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": mixing.op2_mixing,
         "op3_sentencepieces": sentencepieces.op3_sentencepieces,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
