@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftline.llm import mixing, quality_classifier, quality_rules, sentencepieces, toxicity
+from driftline.llm import mixing, quality_classifier, quality_rules, sentencepieces, substrings, toxicity
 
 
 def queries() -> dict:
@@ -12,10 +12,12 @@ def queries() -> dict:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_substrings": substrings.op10_substrings,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op6_quality_rules": quality_rules.ORACLE,
+        "op10_substrings": substrings.ORACLE,
     }
