@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from driftline.llm import mixing, quality_classifier, quality_rules, sentencepieces, substrings, toxicity
+from driftline.llm import mixing, near_duplicates, quality_classifier, quality_rules, sentencepieces, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_sentencepieces": sentencepieces.op3_sentencepieces,
+        "op5_near_duplicates": near_duplicates.op5_near_duplicates,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op5_near_duplicates": near_duplicates.ORACLE,
         "op6_quality_rules": quality_rules.ORACLE,
         "op10_substrings": substrings.ORACLE,
     }
