@@ -165,7 +165,7 @@ class Codec:
         found = [young.get(k) for k in keys]
         if None in found:
             lost = [i for i, x in enumerate(found) if x is None]
-            new = list({keys[i] for i in lost} - old.keys())
+            new = [k for k in {keys[i] for i in lost} if k not in old]
             fresh = dict(zip(new, map(self._made, new, self.segment.encode(new, num_threads=1)), strict=True)) if new else {}
             for i in lost:
                 k = keys[i]
@@ -175,7 +175,12 @@ class Codec:
         return found
 
     def _made(self, chunk: str, ids: list[int]) -> tuple:
-        return tuple(ids), " ".join(map(str, ids)), self.surface(ids).decode("utf-8", "replace"), self._widths(chunk, ids)
+        pieces = [*map(self.text.get, ids)]
+        if None in pieces or self.unknown in ids:
+            said, widths = self.surface(ids).decode("utf-8", "replace"), self._widths(chunk, ids)
+        else:
+            said, widths = "".join(pieces).replace(SPACE, " "), tuple([len(x.encode()) for x in pieces])
+        return tuple(ids), " ".join(map(str, ids)), said, widths
 
     def split(self, text: str) -> tuple[list[tuple], list[int] | None]:
         """Chunks of a text, and the record of source places (None: the identity)."""
