@@ -93,7 +93,9 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     spread = spread.withColumns({"_passes": F.expr("_take div source_size"), "_rest": F.expr("_take % source_size"), "_blocks": F.expr(f"(source_size + {block - 1}) div {block}")})
     spread = spread.withColumn("_slots", F.expr(f"_passes * _blocks + (_rest + {block - 1}) div {block}"))
     spread = spread.withColumn("_shards", F.ceil(F.sum("_slots").over(Window.partitionBy()) / SHARD_SLOTS)).where("_slots > 0")
-    runs = spread.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {RUN})"))).repartition("_source", "_run")
+    # by a number, else few small runs would be put into one task, which then makes all slots
+    parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = spread.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {RUN})"))).repartition(parts, "_source", "_run")
     slot = runs.withColumn("_slot", F.explode(F.expr(f"sequence(_run * {RUN}, least(_slots, (_run + 1) * {RUN}) - 1)")))
     slot = slot.withColumns({"pass": F.expr("_slot div _blocks"), "_place": F.expr("_slot % _blocks")})
     full = F.expr(f"source_size div {block}")
@@ -102,7 +104,8 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     slots = slot.select("_source", F.pmod(F.xxhash64("_source", "_slot", F.lit(seed)), F.col("_shards")).alias("shard"), F.col("pass").cast("int").alias("pass"), "block", "n_words")
 
     pieces = rows.where("size > 0").select("_row", "doc_id", "_source", "_start", "size", F.explode(F.expr(f"sequence(_start div {block}, (_start + size - 1) div {block})")).alias("block"))
-    met = pieces.join(slots, ["_source", "block"])
+    # both sides grow with the input, which the optimizer can't see through explode: never broadcast
+    met = pieces.join(slots.hint("merge"), ["_source", "block"])
     begin = F.greatest(F.col("block") * block - F.col("_start"), F.lit(0))
     end = F.least(F.col("block") * block + F.col("n_words") - F.col("_start"), F.col("size"))
     parts = met.select("_row", "doc_id", "pass", "shard", begin.alias("begin"), end.alias("end")).where("begin < end")
