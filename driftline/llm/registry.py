@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from driftline.llm import mixing, near_duplicates, quality_classifier, quality_rules, sentencepieces, substrings, toxicity
+from driftline.llm import fingerprints, mixing, near_duplicates, quality_classifier, quality_rules, sentencepieces, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_mixing": mixing.op2_mixing,
         "op3_sentencepieces": sentencepieces.op3_sentencepieces,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_near_duplicates": near_duplicates.op5_near_duplicates,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_substrings": substrings.op10_substrings,
