@@ -31,7 +31,7 @@ from driftline.llm.common import table
 from driftline.llm.labelled import fold, sample
 
 BUCKETS = 1 << 18
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 TRAIN_BYTES = 1 << 16
 RANK = 4
 #: Buckets with parameters, and the least evidence for one in standard deviations.
@@ -87,8 +87,12 @@ class Machine:
 
 def _chosen(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Place of each bucket among those whose share of label 1 is far from the sample's."""
-    flat, label = np.concatenate([*docs, np.empty(0, np.int32)]).astype(np.int64), np.repeat(y, [len(x) for x in docs])
-    n, ones, share = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, label, BUCKETS), y.mean()
+    n, ones, share = np.zeros(BUCKETS), np.zeros(BUCKETS), y.mean()
+    for at in range(0, len(docs), 500):
+        part = docs[at : at + 500]
+        flat = np.concatenate(part)
+        n += np.bincount(flat, minlength=BUCKETS)
+        ones += np.bincount(flat, np.repeat(y[at : at + 500], [len(x) for x in part]), BUCKETS)
     z = np.abs(ones - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share) + 0.5)
     best = np.argsort(-z, kind="stable")[:FEATURES]
     best = best[(z[best] >= EVIDENCE) & (n[best] >= 3)]
@@ -132,14 +136,14 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 3
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     terms = Terms()
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [terms.of(x) for x in batch["text"]], "y": batch["y"]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [terms.of(x).tobytes() for x in batch["text"]], "y": batch["y"]})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> Machine:
     """A machine for labels.<label>, learnt from the rows of labels for which `learn` holds."""
     learn = F.lit(True) if learn is None else learn
-    drawn = sample(docs, labels, label, learn, rows, longest).mapInPandas(_hashed, "doc_id long, terms array<int>, y int")
-    got = sorted(((r[0], bytes(np.asarray(r[1], np.int32)), r[2]) for r in drawn.collect()))
+    drawn = sample(docs, labels, label, learn, rows, longest).mapInPandas(_hashed, "doc_id long, terms binary, y int")
+    got = sorted((r["doc_id"], bytes(r["terms"]), r["y"]) for r in drawn.collect())
     return fit([np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for _, _, y in got]))
 
 
