@@ -83,7 +83,7 @@ def likeliest(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     return np.take_along_axis(j, fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row, doc, text, n_shingles, class (of equal sets; null for empty ones), registers; written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +96,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 registers=[registers(s).tobytes() for s in sets],
             )
 
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    plain = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return written(plain.mapInPandas(run, "row long, doc long, text string, n_shingles long, class string, registers binary"))
 
 
@@ -142,10 +143,10 @@ def _verified(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row, doc_id, text, n_shingles, component_id, kept (the id is its component's smallest) and
-    stands (the one row of its component that does)."""
-    drawn = sketches(docs, id_col, text_col)
+    stands (the one row of its component that does). row: row_col, unique, or else numbers given here."""
+    drawn = sketches(docs, id_col, text_col, row_col)
     classes = written(drawn.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "row")).alias("m")).select("class", F.col("m.row").alias("node"), F.col("m.doc").alias("doc")))
     nodes = written(drawn.select(F.col("row").alias("node"), "n_shingles", "registers").join(classes.select("node", "doc"), "node"))
     width = 2 * ROWS

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from driftline.llm import fingerprints, mixing, near_duplicates, quality_classifier, quality_rules, sentencepieces, substrings, token_counts, toxicity
+from driftline.llm import fingerprints, licenses, mixing, near_duplicates, quality_classifier, quality_rules, sentencepieces, substrings, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_licenses": licenses.op1_licenses,
         "op2_mixing": mixing.op2_mixing,
         "op3_sentencepieces": sentencepieces.op3_sentencepieces,
         "op4_token_counts": token_counts.op4_token_counts,

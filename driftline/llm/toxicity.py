@@ -160,6 +160,19 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(scored, f"doc_id {kind}, score double")
 
 
+def below(spark: SparkSession, machine: Machine, limit: float = THRESHOLD, text_col: str = "text"):
+    """A function for mapInPandas that keeps the rows which score below the limit, whole."""
+    model = spark.sparkContext.broadcast(machine)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, machine = Terms(), model.value
+        for batch in batches:
+            scores = machine.scores([terms.of(x or "") for x in batch[text_col]])
+            yield batch[scores < limit]
+
+    return kept
+
+
 def held_out():
     return F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
 
