@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,3 +71,11 @@ def release(df: DataFrame) -> None:
     """Drops a table made by written() of which nothing that is still to run depends."""
     if path := getattr(df, "_driftline_path", None):
         _delete(df.sparkSession, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that nothing refers to any more: it does so when the
+    JVM collects the plans, which hold no memory to speak of and so may stay for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)

@@ -13,8 +13,6 @@ found a source there, and one row per distinct edge goes on, so an edge that a t
 share reaches the shuffle at most once a batch. The hash space is worked through in ROUNDS parts, whose
 hits are written, so the shuffle holds a part of all edges at a time.
 
-docs must be a scan of a table or a written table: batches are read twice and must come out alike.
-
 Defined results: a null, empty or short text (fewer than K words) loses nothing. A null id is larger
 than all others. Rows with one id are one document's age but are kept apart by a hash of their texts;
 equal rows lose alike. Empty tables give empty results; other columns are not read.
@@ -31,23 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table, written
+from driftline.llm.common import settle, table, written
 
 K = 13
-ROUNDS = 3
+ROUNDS = 2
 NO_ID = (1 << 63) - 1
 _WORDS = 400_000
-#: Odd multipliers of the places in a window, by a rule (splitmix64 of the place).
-
-
-def _multipliers(k: int) -> np.ndarray:
-    out = []
-    for i in range(1, k + 1):
-        z = (i * 0x9E3779B97F4A7C15) & (2**64 - 1)
-        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & (2**64 - 1)
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & (2**64 - 1)
-        out.append((z ^ (z >> 31)) | 1)
-    return np.array(out, np.uint64)
 
 
 class WordHashes(dict):
@@ -63,18 +50,30 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two adjoining runs from theirs."""
+    out = left * np.uint64(0x9E3779B97F4A7C15)
+    out += right
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
 def windows(hashes: np.ndarray, k: int = K) -> np.ndarray:
-    """A hash of every k consecutive words."""
+    """A hash of every k consecutive words, put together from runs of 1, 2, 4, ... words."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i, m in enumerate(_multipliers(k)):
-        out += hashes[i : i + n] * m
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    return out
+    out, at, run, size = None, 0, hashes, 1
+    while True:
+        if k & size:
+            part = run[at : at + n]
+            out = _joined(out, part) if out is not None else part * np.uint64(0x94D049BB133111EB)
+            at += size
+        if 2 * size > k:
+            break
+        run, size = _joined(run[:-size], run[size:]), 2 * size
+    return out ^ (out >> np.uint64(29))
 
 
 def _tag(text: str) -> int:
@@ -82,7 +81,8 @@ def _tag(text: str) -> int:
 
 
 def _edges(batch: pd.DataFrame, words: WordHashes, k: int, part: int, parts: int) -> tuple[np.ndarray, ...]:
-    """(edge, document, place) of the part's edges, by edge, document and place, once per edge and document."""
+    """(edge, document, place, rank by document and place) of the part's edges, by edge, document and
+    place, once per edge and document."""
     edges, docs, places = [], [], []
     for doc, text in sorted(zip(batch["doc"], batch["text"], strict=True)):
         h = windows(words.of(text.encode().split()), k)
@@ -91,57 +91,50 @@ def _edges(batch: pd.DataFrame, words: WordHashes, k: int, part: int, parts: int
         docs.append(np.full(len(at), doc, np.int64))
         places.append(at + (_tag(text) << 32))
     if not edges:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     edge, doc, place = np.concatenate(edges), np.concatenate(docs), np.concatenate(places)
     order = np.argsort(edge, kind="stable")
     edge, doc, place = edge[order], doc[order], place[order]
     first = np.ones(len(edge), bool)
     first[1:] = (edge[1:] != edge[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] >> 32 != place[:-1] >> 32)
-    return edge[first], doc[first], place[first]
+    return edge[first], doc[first], place[first], order[first]
 
 
-def _heads(edge: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted edges: which row opens its edge's group, and for every row the place of that row."""
+def _batch(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, rank: np.ndarray) -> pd.DataFrame:
+    """A batch's rows. Those of an edge's smallest document in the batch ask for a smaller one
+    elsewhere; the others have their source, and an apart of their own keeps them from meeting the
+    rows of their edge. Rows are in the order of the texts, in which they compress best."""
     opens = np.ones(len(edge), bool)
     opens[1:] = edge[1:] != edge[:-1]
-    return opens, np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(edge) else np.empty(0, np.int64)
+    head = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(edge) else np.empty(0, np.int64)
+    asks, back = doc == doc[head], np.argsort(rank, kind="stable")
+    source = pd.array(doc[head], "Int64")
+    source_place = pd.array(place[head], "Int64")
+    source[asks], source_place[asks] = pd.NA, pd.NA
+    apart = np.where(asks, 0, doc ^ place | 1)
+    return pd.DataFrame({"edge": edge.view(np.int64), "apart": apart, "doc": doc, "place": place, "source": source, "source_place": source_place}).iloc[back]
 
 
-def hits(docs: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """doc, place, source, source_place of every edge of a document that a smaller document has too;
-    place holds a tag of the text above its lower 32 bits. Written, once per edge and document."""
-
-    def asked(part: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words = WordHashes()
-            for batch in batches:
-                edge, doc, place = _edges(batch, words, k, part, rounds)
-                _, head = _heads(edge, doc)
-                own = doc == doc[head]
-                yield pd.DataFrame({"edge": edge[own].view(np.int64), "doc": doc[own], "place": place[own]})
-
-        return run
+def _hits_of(docs: DataFrame, k: int, part: int, rounds: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for batch in batches:
+            yield _batch(*_edges(batch, words, k, part, rounds))
 
-    def settled(part: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words = WordHashes()
-            for batch in batches:
-                edge, doc, place = _edges(batch, words, k, part, rounds)
-                _, head = _heads(edge, doc)
-                later = doc > doc[head]
-                yield pd.DataFrame({"doc": doc[later], "place": place[later], "source": doc[head][later], "source_place": place[head][later]})
+    rows = docs.mapInPandas(run, "edge long, apart long, doc long, place long, source long, source_place long")
+    first = F.min(F.struct("doc", "place")).over(Window.partitionBy("edge", "apart"))
+    met = rows.withColumn("first", first).where(F.col("source").isNotNull() | (F.col("first.doc") < F.col("doc")))
+    return written(met.select("doc", "place", F.coalesce("source", "first.doc").alias("source"), F.coalesce("source_place", "first.place").alias("source_place")))
 
-        return run
 
+def hits(docs: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
+    """doc, place, source, source_place of every edge of a document that a smaller document has too;
+    place holds a tag of the text above its lower 32 bits. Written, once per edge and document."""
     found = None
     for part in range(rounds):
-        first = F.min(F.struct("doc", "place")).over(Window.partitionBy("edge"))
-        met = docs.mapInPandas(asked(part), "edge long, doc long, place long").withColumn("first", first).where(F.col("first.doc") < F.col("doc"))
-        met = met.select("doc", "place", F.col("first.doc").alias("source"), F.col("first.place").alias("source_place"))
-        here = written(met.unionByName(docs.mapInPandas(settled(part), "doc long, place long, source long, source_place long")))
+        here = _hits_of(docs, k, part, rounds)
         found = here if found is None else found.unionByName(here)
-        # the part's shuffle files are no longer needed; Spark drops them when the JVM notices
-        docs.sparkSession._jvm.System.gc()
+        settle(docs.sparkSession)
     return found
 
 
@@ -161,7 +154,9 @@ def removals(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
     by one space) and kept_sha256."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     plain = docs.select(key.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    covered = spans(hits(plain, k), k).groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    chains = written(spans(hits(plain, k), k))
+    settle(docs.sparkSession)
+    covered = chains.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
 
     def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
