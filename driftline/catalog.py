@@ -2,10 +2,197 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftline.config import Options
+from driftline.functions import locations as L
+from driftline.operators import delta as D
+from driftline.operators import parts as P
+from driftline.operators import plan as plans
+from driftline.operators import reliability as R
+from driftline.operators import signature as S
+from driftline.operators.diff import diff, heads
+from driftline.plans import fixtures as X
+from driftline.sources import inventory as I
+
+#: Options at which the driver's documents (4 B to some 100 KB) exercise every action.
+BASE = Options(delete=True, delta_threshold=2000)
+MODES = {
+    "default": replace(BASE, delete=False),
+    "checksum": replace(BASE, delete=False, checksum=True),
+    "size_only": replace(BASE, delete=False, size_only=True),
+    "update": replace(BASE, delete=False, update=True, checksum=True),
+    "modify_window": replace(BASE, delete=False, modify_window=90),
+    "existing": replace(BASE, delete=False, existing=True),
+    "ignore_existing": replace(BASE, delete=False, ignore_existing=True),
+    "size_limits": replace(BASE, min_size=500, max_size=4000),
+    "whole_file": replace(BASE, delete=False, whole_file=True),
+    "delete": BASE,
+    "globs": replace(BASE, include=("src1/**",), exclude=("**/*1.txt", "src2/fr/*")),
+}
+BLOCK, LEAST, MOST = 256, 2048, 1500
+
+
+def actions(spark: SparkSession, d: str, o: Options = BASE) -> DataFrame:
+    return diff(X.source(spark, d), X.dest(spark, d), o)
+
+
+def _diffed(o: Options):
+    return lambda spark, d: actions(spark, d, o).select("path", "action", "size")
+
+
+def _ops(spark: SparkSession, d: str) -> DataFrame:
+    return D.delta(X.blobs(spark, d, "new"), S.signature(X.blobs(spark, d, "old"), BLOCK), BLOCK)
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    return P.merged(_ops(spark, d))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return P.packed(_merged(spark, d), LEAST)
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    return D.download_ranges(X.blobs(spark, d, "old"), S.signature(X.blobs(spark, d, "new"), BLOCK), BLOCK)
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return X.source(spark, d).where("NOT is_dir")
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    text = "CASE doc_id % 7 WHEN 0 THEN 's3://' || source || '/' || lang || '/f' WHEN 1 THEN 'gs://' || source WHEN 2 THEN 'AZURE://' || source || '//x' WHEN 3 THEN 'user@' || source || ':/data/' || doc_id WHEN 4 THEN source || ':rel/' || doc_id WHEN 5 THEN '/abs:' || source ELSE 'file:///' || lang END"
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(text).alias("raw"))
+
+
+RAW = "r AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 's3://' || source || '/' || lang || '/f' WHEN 1 THEN 'gs://' || source WHEN 2 THEN 'AZURE://' || source || '//x' WHEN 3 THEN 'user@' || source || ':/data/' || doc_id WHEN 4 THEN source || ':rel/' || doc_id WHEN 5 THEN '/abs:' || source ELSE 'file:///' || lang END AS raw FROM documents)"
+
+
+def parse_locations(spark: SparkSession, d: str) -> DataFrame:
+    where = L.location(F.col("raw"))
+    return _raw(spark, d).withColumn("w", where).select("doc_id", "w.*", L.to_uri(F.col("w")).alias("uri"), L.supports_multipart(F.col("w.scheme")).alias("multipart"), L.supports_part_copy(F.col("w.scheme")).alias("part_copy"))
+
+
+def parse_sizes(spark: SparkSession, d: str) -> DataFrame:
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    text = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.element_at(F.array(*map(F.lit, ("", "k", "MB", "G", "tb", "B", ".5M", "KX"))), (F.col("p_partkey") % 8 + 1).cast("int")))
+    return parts.select("p_partkey", L.parse_size(text).alias("bytes"), L.block_size(F.col("p_size") * 200).alias("block_size"))
+
+
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return X.source(spark, d).select("path", L.parent(p).alias("parent"), L.file_name(p).alias("name"), L.sidecar_path(p).alias("sidecar"), L.backup_path(p).alias("backup"), L.backup_path(p, "/bak/", ".old").alias("moved"), L.is_backup(L.backup_path(p)).alias("is_backup"), L.join_path(F.lit("root/"), p).alias("joined"))
+
+
+def resolve_keys(spark: SparkSession, d: str) -> DataFrame:
+    prefix = F.element_at(F.array(F.lit(""), F.lit("src1"), F.lit("src1/"), F.lit("src")), (F.length("path") % 4 + 1).cast("int"))
+    return X.source(spark, d).select("path", L.resolve_key(prefix, F.col("path")).alias("key"), L.strip_prefix(prefix, F.col("path")).alias("stripped"))
+
+
+def provider_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("hetzner", "hel1"), ("DO", "nyc3"), ("b2", "eu-central-003"), ("wasabi", "eu-central-1"), ("hetzner", "invalid"), ("nobody", "x")]
+    return L.endpoints(spark.createDataFrame(rows, "provider string, region string"))
+
+
+def small_texts(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    name = F.element_at(F.array(*map(F.lit, ("glacier", "Standard_IA", "nothing", "STANDARD"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return orders.select("o_orderkey", L.block_id(F.col("o_orderkey")).alias("block_id"), L.storage_class(name).alias("storage_class"), L.shell_quoted(F.concat(F.col("o_orderpriority"), F.lit("'s"))).alias("quoted"))
+
+
+def conflicts(spark: SparkSession, d: str) -> DataFrame:
+    found = R.conflicts(X.source(spark, d), X.dest(spark, d))
+    strategy = F.element_at(F.array(*map(F.lit, ("fail", "overwrite", "skip", "retry"))), (F.length("path") % 4 + 1).cast("int"))
+    return found.withColumn("action", R.conflict_action(F.col("conflict"), strategy))
+
+
+def _failures(spark: SparkSession, d: str) -> DataFrame:
+    kind = "CASE event_id % 5 WHEN 0 THEN 'network' WHEN 1 THEN 'aws' WHEN 2 THEN 'io' WHEN 3 THEN 'config' ELSE 'multipart_upload' END"
+    text = "CASE event_id % 3 WHEN 0 THEN 'ThrottlingException' WHEN 1 THEN 'operation timed out' ELSE event_type END"
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.expr(kind).alias("kind"), F.expr(text).alias("message"))
+
+
+FAILURES = "f AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'network' WHEN 1 THEN 'aws' WHEN 2 THEN 'io' WHEN 3 THEN 'config' ELSE 'multipart_upload' END AS kind, CASE event_id % 3 WHEN 0 THEN 'ThrottlingException' WHEN 1 THEN 'operation timed out' ELSE event_type END AS message FROM events), r AS (SELECT *, kind IN ('network', 'multipart_upload') OR (kind = 'aws' AND regexp_matches(lower(message), 'throttl|timeout|connection|503|500|429')) OR (kind = 'io' AND regexp_matches(lower(message), 'reset|aborted|timed out|interrupted')) AS retryable FROM f)"
+
+
+def resume_valid(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.documents(spark, d)
+    states = rows.select(F.col("path").alias("local_path"), F.octet_length("old").cast("long").alias("local_size"), (F.floor(F.col("t") / 1_000_000) + F.col("doc_id") % 3).alias("local_mtime"), F.floor(F.col("t") / 1_000_000).alias("started_at"))
+    return R.valid_states(states, X.source(spark, d)).select("local_path", "valid", (F.lit(X.START // 1_000_000 + 86_400) - F.col("started_at") > 43_200).alias("old"))
+
+
+def remaining_parts(spark: SparkSession, d: str) -> DataFrame:
+    planned = P.whole_parts(_files(spark, d), MOST)
+    return R.remaining_parts(planned, planned.where("(length(path) + part_number) % 3 = 0")).select("path", "part_number", "target_offset", "length")
+
+
+def token_bucket(spark: SparkSession, d: str) -> DataFrame:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    requests = events.select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - X.START / 1e6).alias("at"), (F.abs("value") * 50).cast("long").alias("bytes"))
+    return R.token_bucket(requests, 1)
+
+
+def _deleted(spark: SparkSession, d: str) -> DataFrame:
+    return plans.positions(actions(spark, d)).select("path", "action", "rank", "place", "implied", "estimated_bytes", "bytes_saved")
+
+
+A = X.diff_sql(BASE)
+SIG = "c AS (SELECT path, encode(old) AS c FROM b), k AS (SELECT path, c, unnest(range(0, (octet_length(c) + 255) // 256)) AS i FROM c WHERE octet_length(c) > 0), g AS (SELECT path, CAST(i AS BIGINT) AS block_index, CAST(i * 256 AS BIGINT) AS block_offset, c[i * 256 + 1:i * 256 + 256] AS data FROM k)"
+
+#: name -> (query, oracle or None)
+CATALOG: dict[str, tuple] = {
+    "plan_counts": (lambda s, d: plans.counts(actions(s, d)), f"WITH {A} SELECT action, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(estimated_bytes) AS BIGINT) AS estimated_bytes, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM p GROUP BY action"),
+    **{f"diff_{k}": (_diffed(o), f"WITH {X.diff_sql(o)} SELECT path, action, size FROM a") for k, o in MODES.items() if k != "globs"},
+    "diff_globs": (_diffed(MODES["globs"]), f"WITH {A} SELECT path, action, size FROM a WHERE path LIKE 'src1/%' OR NOT (path LIKE '%1.txt' OR regexp_matches(path, '^src2/fr/[^/]*$'))"),
+    "mkdir_actions": (lambda s, d: actions(s, d).where("action = 'mkdir'").select("path"), f"WITH {X.SQL} SELECT path FROM s WHERE is_dir AND path NOT IN (SELECT path FROM d)"),
+    "plan_ordered": (_deleted, f"WITH {A} SELECT path, action, rank, row_number() OVER (PARTITION BY rank, split_part(path, '/', 1) ORDER BY path) AS place, estimated_bytes, bytes_saved, action = 'delete' AND EXISTS (SELECT 1 FROM p q WHERE q.action = 'delete' AND q.is_dir AND starts_with(p.path, q.path || '/')) AS implied FROM p"),
+    "plan_totals": (lambda s, d: plans.totals(actions(s, d)), f"WITH {A} SELECT CAST(sum(estimated_bytes) AS BIGINT) AS total_bytes, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM p"),
+    "plan_counts_row": (lambda s, d: plans.counts_row(actions(s, d)), f"WITH {A} SELECT " + ", ".join(f"count(*) FILTER (WHERE action = '{x}') AS {x}" for x in ("mkdir", "upload", "download", "delta", "skip")) + ', count(*) FILTER (WHERE action = \'delete\') AS "delete" FROM p'),
+    "scan_stats": (lambda s, d: plans.scan_stats(X.source(s, d)), f"WITH {X.SQL} SELECT count(*) AS files_scanned, count(*) FILTER (WHERE is_dir) AS dirs_scanned, CAST(sum(size) AS BIGINT) AS bytes_scanned FROM s"),
+    "run_stats": (lambda s, d: plans.run_stats(actions(s, d), 4.0), f"WITH {A}, t AS (SELECT count(*) FILTER (WHERE action = 'upload') AS files_uploaded, count(*) FILTER (WHERE action = 'delta') AS files_delta, count(*) FILTER (WHERE action = 'skip') AS files_skipped, count(*) FILTER (WHERE action = 'delete') AS files_deleted, CAST(sum(size) FILTER (WHERE action IN ('upload', 'delta')) AS BIGINT) AS bytes_total, CAST(sum(estimated_bytes) FILTER (WHERE action IN ('upload', 'delta')) AS BIGINT) AS bytes_transferred, CAST(sum(bytes_saved) AS BIGINT) AS bytes_saved FROM p) SELECT *, bytes_saved / bytes_total * 100 AS savings_percent, bytes_transferred / 4.0::DOUBLE AS bytes_per_second FROM t"),
+    "execution_mode": (lambda s, d: plans.execution_modes(actions(s, d), True, False, True, 2000, 1000).select("path", "mode", "needs_signature"), f"WITH {A} SELECT path, CASE WHEN action = 'delta' THEN 'delta_upload' WHEN action = 'upload' THEN CASE WHEN size < 1000 THEN 'memory' ELSE 'put_file' END ELSE action END AS mode, action IN ('upload', 'delta') AND NOT is_dir AND size >= 2000 AS needs_signature FROM p"),
+    "execution_mode_download": (lambda s, d: plans.execution_modes(actions(s, d), False, True, False, 2000, 1000).select("path", "mode", "needs_signature"), f"WITH {A} SELECT path, CASE WHEN action = 'delta' THEN 'delta_download' WHEN action = 'upload' THEN CASE WHEN size < 1000 THEN 'memory' ELSE 'stream' END ELSE action END AS mode, action IN ('upload', 'delta') AND NOT is_dir AND size >= 2000 AS needs_signature FROM p"),
+    "itemized": (lambda s, d: plans.itemized(actions(s, d), X.dest(s, d)), f"WITH {A} SELECT p.path, action, CASE WHEN action = 'delete' THEN '*deleting   ' || p.path ELSE CASE action WHEN 'mkdir' THEN 'c' WHEN 'skip' THEN '.' ELSE '<' END || CASE WHEN p.is_dir THEN 'd' ELSE 'f' END || CASE WHEN d.path IS NULL THEN 'cstpog' ELSE CASE WHEN p.size <> d.size THEN 'cs' ELSE '..' END || CASE WHEN coalesce(p.mt <> d.mt, false) THEN 't' ELSE '.' END || CASE WHEN p.mode IS DISTINCT FROM d.mode THEN 'p' ELSE '.' END || '..' END || '... ' || p.path END AS line FROM p LEFT JOIN d ON p.path = d.path"),
+    "heads": (lambda s, d: heads(X.dest(s, d), X.source(s, d)).select("path", "size", "found"), f"WITH {X.SQL} SELECT s.path, d.size, d.path IS NOT NULL AS found FROM s LEFT JOIN d ON s.path = d.path"),
+    "parse_locations": (parse_locations, f"WITH {RAW}, w AS (SELECT doc_id, raw, CASE doc_id % 7 WHEN 0 THEN 's3' WHEN 1 THEN 'gs' WHEN 2 THEN 'az' WHEN 3 THEN 'ssh' WHEN 4 THEN 'ssh' ELSE 'file' END AS scheme, CASE WHEN doc_id % 7 < 3 THEN regexp_extract(raw, '://([^/]*)', 1) END AS container, CASE WHEN doc_id % 7 = 3 THEN 'user' END AS \"user\", CASE WHEN doc_id % 7 IN (3, 4) THEN regexp_extract(raw, '^(?:[^@]*@)?([^:]*):', 1) END AS host, CASE WHEN doc_id % 7 < 3 THEN regexp_extract(raw, '://[^/]*/*(.*)$', 1) WHEN doc_id % 7 IN (3, 4) THEN regexp_extract(raw, '^[^:]*:(.*)$', 1) WHEN doc_id % 7 = 5 THEN raw ELSE substr(raw, 8) END AS path FROM r) SELECT doc_id, scheme, container, \"user\", host, path, CASE WHEN scheme = 'ssh' THEN coalesce(\"user\" || '@', '') || host || ':' || path WHEN scheme = 'file' THEN path ELSE scheme || '://' || container || CASE WHEN path = '' THEN '' ELSE '/' || path END END AS uri, scheme IN ('s3', 'gs', 'az') AS multipart, scheme IN ('s3', 'az') AS part_copy FROM w"),
+    "parse_sizes": (parse_sizes, "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN p_size * 1024::BIGINT WHEN 2 THEN p_size * 1048576::BIGINT WHEN 3 THEN p_size * 1073741824::BIGINT WHEN 4 THEN p_size * 1099511627776::BIGINT END AS bytes, CAST(greatest(65536, least(5242880, p_size * 200 * 1024)) AS BIGINT) AS block_size FROM part"),
+    "path_parts": (path_parts, f"WITH {X.SQL} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS name, path || '.blocksig' AS sidecar, path || '~' AS backup, '/bak/' || path || '.old' AS moved, true AS is_backup, 'root/' || path AS joined FROM s"),
+    "resolve_keys": (resolve_keys, f"WITH {X.SQL}, x AS (SELECT path, CASE length(path) % 4 WHEN 0 THEN '' WHEN 3 THEN 'src' ELSE 'src1' END AS f FROM s) SELECT path, CASE WHEN f = '' THEN path ELSE f || '/' || path END AS key, CASE WHEN f = '' THEN path WHEN starts_with(path, f || '/') THEN substr(path, length(f) + 2) WHEN length(path) % 4 <> 2 AND starts_with(path, f) THEN substr(path, length(f) + 1) ELSE path END AS stripped FROM x"),
+    "provider_endpoints": (provider_endpoints, "SELECT * FROM (VALUES ('hetzner', 'hel1', 'https://hel1.your-objectstorage.com', NULL), ('DO', 'nyc3', 'https://nyc3.digitaloceanspaces.com', NULL), ('b2', 'eu-central-003', 'https://s3.eu-central-003.backblazeb2.com', NULL), ('wasabi', 'eu-central-1', 'https://s3.eu-central-1.wasabisys.com', NULL), ('hetzner', 'invalid', NULL, 'unknown region'), ('nobody', 'x', NULL, 'unknown provider')) t(provider, region, endpoint, problem)"),
+    "small_texts": (small_texts, "SELECT o_orderkey, base64(encode('block-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0'))) AS block_id, CASE o_orderkey % 4 WHEN 0 THEN 'GLACIER' WHEN 1 THEN 'STANDARD_IA' ELSE 'STANDARD' END AS storage_class, '''' || replace(o_orderpriority || '''s', '''', '''\\''''') || '''' AS quoted FROM orders"),
+    "conflicts": (conflicts, f"WITH {X.SQL}, x AS (SELECT coalesce(s.path, d.path) AS path, CASE WHEN s.path IS NULL THEN 'remote_created' WHEN d.path IS NULL THEN 'remote_deleted' WHEN coalesce(s.etag <> d.etag, false) OR s.size <> d.size THEN 'remote_modified' ELSE 'none' END AS conflict, coalesce(s.etag <> d.etag, false) AS t, s.etag AS se, d.etag AS de, s.size AS ss, d.size AS ds FROM s FULL JOIN d ON s.path = d.path) SELECT path, conflict, CASE WHEN conflict = 'remote_modified' THEN CASE WHEN t THEN se ELSE 'size:' || ss END END AS was, CASE WHEN conflict = 'remote_modified' THEN CASE WHEN t THEN de ELSE 'size:' || ds END END AS now, CASE WHEN conflict = 'none' THEN 'proceed' ELSE CASE length(path) % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'proceed' WHEN 2 THEN 'skip' ELSE 'retry' END END AS action FROM x"),
+    "retryable_errors": (lambda s, d: _failures(s, d).withColumn("retryable", R.retryable(F.col("kind"), F.col("message"))), f"WITH {FAILURES} SELECT id, kind, message, retryable FROM r"),
+    "retry_schedule": (lambda s, d: R.retry_schedule(_failures(s, d), 7), f"WITH {FAILURES}, t AS (SELECT id, CAST(unnest(range(0, 7)) AS INTEGER) AS attempt FROM r WHERE retryable), y AS (SELECT id, attempt, CAST(least(1000 * pow(2, attempt), 30000) AS BIGINT) AS delay_ms FROM t) SELECT id, attempt, delay_ms, CAST(sum(delay_ms) OVER (PARTITION BY id ORDER BY attempt) AS BIGINT) AS starts_at_ms FROM y"),
+    "signature_blocks": (lambda s, d: S.signature(X.blobs(s, d, "old"), BLOCK).drop("rolling").withColumnRenamed("offset", "block_offset"), f"WITH {X.SQL}, {SIG} SELECT path, block_index, block_offset, CAST(octet_length(data) AS INTEGER) AS size, sha256(data) AS strong FROM g"),
+    "signature_headers": (lambda s, d: S.headers(X.blobs(s, d, "old"), BLOCK), f"WITH {X.SQL}, {SIG} SELECT path, CAST(octet_length(c) AS BIGINT) AS file_size, CASE WHEN octet_length(c) > 0 THEN substr(sha256(c), 1, 32) END AS source_etag, CAST((octet_length(c) + 255) // 256 AS BIGINT) AS n_blocks FROM c"),
+    "rolling_checksum": (lambda s, d: S.signature(X.blobs(s, d, "old"), BLOCK).select("path", "block_index", "rolling"), f"WITH {X.SQL}, {SIG}, h AS (SELECT path, block_index, octet_length(data) AS n, hex(data) AS h FROM g), y AS (SELECT path, block_index, n, unnest(range(0, n)) AS j, h FROM h), z AS (SELECT path, block_index, n, j, CAST('0x' || substr(h, 2 * j + 1, 2) AS INTEGER) AS x FROM y) SELECT path, block_index, CAST(((sum((n - j) * x) % 65536) * 65536 + sum(x) % 65536) AS BIGINT) AS rolling FROM z GROUP BY path, block_index"),
+    "rolling_windows": (lambda s, d: S.window_checksums(X.blobs(s, d, "old"), 64), f"WITH {X.SQL}, h AS (SELECT path, octet_length(encode(old)) AS n, hex(encode(old)) AS h FROM b), y AS (SELECT path, n, unnest(range(0, n)) AS j, h FROM h), z AS (SELECT path, n, j, CAST('0x' || substr(h, 2 * j + 1, 2) AS BIGINT) AS x FROM y), q AS (SELECT path, n, j, sum(x) OVER w AS sx, sum(j * x) OVER w AS sj FROM z WINDOW w AS (PARTITION BY path ORDER BY j ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING)), v AS (SELECT path, (((j + 64) * sx - sj) % 65536) * 65536 + sx % 65536 AS r FROM q WHERE j <= n - 64), a AS (SELECT path, count(*) AS n, sum(r) AS tt, min(r) AS lo, max(r) AS hi FROM v GROUP BY path) SELECT b.path, CAST(coalesce(a.n, 0) AS BIGINT) AS n_windows, CAST(coalesce(tt, 0) AS BIGINT) AS total, CAST(lo AS BIGINT) AS low, CAST(hi AS BIGINT) AS high FROM b LEFT JOIN a ON a.path = b.path"),
+    "signature_stale": (lambda s, d: X.source(s, d).where("NOT is_dir").select("path", F.col("etag").alias("e")).join(X.dest(s, d).select("path", "etag"), "path").select("path", S.stale(F.col("e"), F.col("etag")).alias("stale")), f"WITH {X.SQL} SELECT s.path, NOT coalesce(s.etag = d.etag, false) AS stale FROM s JOIN d ON s.path = d.path WHERE NOT s.is_dir"),
+    "delta_ops": (_ops, None),
+    "delta_totals": (lambda s, d: D.totals(_ops(s, d)), None),
+    "coalesced_ops": (_merged, None),
+    "packed_parts": (_packed, None),
+    "upload_totals": (lambda s, d: P.part_totals(_packed(s, d)), None),
+    "split_parts": (lambda s, d: P.split(_merged(s, d), MOST), None),
+    "multipart_parts": (lambda s, d: P.whole_parts(_files(s, d), MOST).drop("source_offset"), f"WITH {X.SQL}, x AS (SELECT path, size, unnest(range(0, (size + {MOST - 1}) // {MOST})) AS i FROM s WHERE NOT is_dir AND size > 0) SELECT path, CAST(i + 1 AS INTEGER) AS part_number, 'upload' AS kind, CAST(i * {MOST} AS BIGINT) AS target_offset, CAST(least({MOST}, size - i * {MOST}) AS BIGINT) AS length FROM x"),
+    "restore_verify": (lambda s, d: P.verified(P.applied(_packed(s, d), X.blobs(s, d, "old"), X.blobs(s, d, "new")), X.blobs(s, d, "new")), f"WITH {X.SQL} SELECT path, true AS ok FROM b"),
+    "download_ranges": (_ranges, None),
+    "download_totals": (lambda s, d: D.download_totals(_ranges(s, d)), None),
+    "resume_valid": (resume_valid, f"WITH {X.SQL} SELECT b.path AS local_path, coalesce(s.size = strlen(b.old) AND abs(s.mt // 1000000 - (b.t // 1000000 + b.doc_id % 3)) <= 1, false) AS valid, 1704067200 + 86400 - b.t // 1000000 > 43200 AS old FROM b LEFT JOIN s ON s.path = b.path"),
+    "remaining_parts": (remaining_parts, f"WITH {X.SQL}, x AS (SELECT path, size, unnest(range(0, (size + {MOST - 1}) // {MOST})) AS i FROM s WHERE NOT is_dir AND size > 0) SELECT path, CAST(i + 1 AS INTEGER) AS part_number, CAST(i * {MOST} AS BIGINT) AS target_offset, CAST(least({MOST}, size - i * {MOST}) AS BIGINT) AS length FROM x WHERE (length(path) + i + 1) % 3 <> 0"),
+    "token_bucket": (token_bucket, None),
+    "chunk_stream": (lambda s, d: I.chunks(X.blobs(s, d, "new"), 1000).select("path", "chunk_index", F.col("offset").alias("chunk_offset"), F.sha2("data", 256).alias("digest")), f"WITH {X.SQL}, c AS (SELECT path, encode(new) AS c FROM b), k AS (SELECT path, c, unnest(range(0, (octet_length(c) + 999) // 1000)) AS i FROM c WHERE octet_length(c) > 0) SELECT path, CAST(i AS BIGINT) AS chunk_index, CAST(i * 1000 AS BIGINT) AS chunk_offset, sha256(c[i * 1000 + 1:i * 1000 + 1000]) AS digest FROM k"),
+    "byte_ranges": (lambda s, d: X.blobs(s, d, "new").select("path", F.sha2(I.byte_range(F.col("content"), 10, 99), 256).alias("digest")), f"WITH {X.SQL} SELECT path, sha256(encode(new)[11:100]) AS digest FROM b"),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOG.items() if sql}
