@@ -15,7 +15,8 @@ from driftline.schema import INVENTORY
 
 def listed(spark: SparkSession, location: str) -> DataFrame:
     """Files under a location of any store that Spark reads. Contents aren't read; there are no rows
-    for directories, and mode and etag are null."""
+    for directories nor, since Spark leaves them out of its scans, for empty files (tree() and
+    from_find() have both); mode and etag are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
     root = location.rstrip("/")
     inner = F.expr(f"substring(path, instr(path, '{root.split('://')[-1].lstrip('/')}') + {len(root.split('://')[-1].lstrip('/')) + 1})")
