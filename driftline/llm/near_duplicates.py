@@ -10,9 +10,10 @@ equal, and both set sizes); pairs not far below the threshold are verified on th
 
 Sets that are equal form a class at once, and one member stands for it. In a band's bucket every
 member is compared with the member of smallest id; only where the links found so far leave a bucket
-with members of several components are the pairs across components compared too, so a bucket of
-near copies costs one comparison a member and no link between components is left untested. At 0.75,
-a pair shares none of the bands with a chance of about 5e-6; there is no cap on buckets or pairs.
+with members of several components are the pairs across components compared too, by their registers,
+in blocks, so a bucket of near copies costs one verification a member and no link between components is
+left untested. At 0.75, a pair shares none of the bands with a chance of about 5e-6, and fails the
+estimates with one of about 1e-4; there is no cap on buckets or pairs.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing, each its own
 component. A null id counts as larger than all others. Rows with one id are separate rows. Empty
@@ -37,7 +38,11 @@ SHINGLE = 5
 REGISTERS, ROWS = 128, 4
 B, A, LIMIT = 1.01, 20.0, (1 << 16) - 2
 #: Estimates (standard error 0.04) below this are not verified.
-CANDIDATE = 0.55
+CANDIDATE = 0.6
+#: Least share of registers in which a pair of a bucket agrees (standard error 0.04), and the members of
+#: a bucket that are compared in one group.
+AGREE = 0.6
+BLOCK = 4096
 
 _RULE = np.random.Generator(np.random.Philox(20260101))
 _XOR = _RULE.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -115,6 +120,64 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs a, b of different labels that share a bucket and agree in enough registers, each once.
+
+    Buckets larger than BLOCK are cut into blocks, every two of which meet in one group; groups are
+    read in sorted order and compared in numpy, by the registers' low bytes (a share of 1/256 of
+    unlike ones agrees too). Only pairs that pass are rows, and only in the first band they share.
+    """
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    low = nodes.select("node", "n_shingles", "registers")
+    rows = rest.join(sizes, "key").join(low, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.withColumn("with", F.explode(other)).select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label", "n_shingles", "registers")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    width = 2 * ROWS
+
+    def pairs(group: pd.DataFrame) -> list[np.ndarray]:
+        # the largest label last: its members need not meet each other
+        order = group["label"].map(group["label"].value_counts()).to_numpy().argsort(kind="stable")
+        node, label, block, size = (group[c].to_numpy()[order] for c in ("node", "label", "block", "n_shingles"))
+        full = np.frombuffer(b"".join(group["registers"].iloc[order]), np.uint8).reshape(len(order), -1)
+        bands, bytes_ = full.reshape(len(order), -1, width), full[:, ::2]
+        apart = group["i"].iloc[0] != group["j"].iloc[0]
+        band, out = group["band"].iloc[0], []
+        for x in range(len(order) - 1):
+            if label[x] == label[-1]:
+                break
+            later = slice(x + 1, None)
+            near = (label[later] != label[x]) & (np.minimum(size[later], size[x]) >= 0.7 * np.maximum(size[later], size[x]))
+            if apart:
+                near &= block[later] != block[x]
+            at = np.flatnonzero(near) + x + 1
+            at = at[(bytes_[at] == bytes_[x]).sum(1) >= AGREE * REGISTERS]
+            if len(at):
+                # shared bands of the survivors: keep those whose first is this bucket's
+                at = at[(bands[at] == bands[x]).all(2).argmax(1) == band]
+                out.append(np.stack([np.full(len(at), node[x]), node[at]], 1))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def made(frame: pd.DataFrame) -> pd.DataFrame:
+            found = [p for _, g in frame.groupby(["key", "i", "j"], sort=False) if len(g) > 1 for p in pairs(g)]
+            return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = held.iloc[-1]
+            open_ = (held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])
+            yield made(held[~open_])
+            held = held[open_]
+        if held is not None:
+            yield made(held)
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b for which 100 * intersection >= percent * union, on whole sets; written."""
     pairs = written(pairs)
@@ -149,22 +212,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     drawn = sketches(docs, id_col, text_col, row_col)
     classes = written(drawn.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "row")).alias("m")).select("class", F.col("m.row").alias("node"), F.col("m.doc").alias("doc")))
     nodes = written(drawn.select(F.col("row").alias("node"), "n_shingles", "registers").join(classes.select("node", "doc"), "node"))
-    width = 2 * ROWS
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(REGISTERS // ROWS)))
-    bands = nodes.select("node", "doc", F.explode(keys).alias("key"))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)))
+    bands = nodes.select("node", "doc", F.posexplode(keys).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.min(F.struct("doc", "node")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(bands.join(shared, "key").select("key", "node", "doc", F.col("first.node").alias("centre")))
+    members = written(bands.join(shared, "key").select("band", "key", "node", "doc", F.col("first.node").alias("centre")))
 
     stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = _verified(_likely(stars, nodes), drawn, percent)
     labels = components(links)
-    joined = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    joined = members.select("band", "key", "node").join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
     mixed = joined.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     rest = written(joined.join(mixed, "key"))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    across = across.join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(_likely(across, nodes), drawn, percent)
+    more = _verified(_likely(_across(rest, nodes), nodes), drawn, percent)
     labels = components(links.unionByName(more))
 
     owned = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
