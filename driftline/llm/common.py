@@ -76,6 +76,7 @@ def release(df: DataFrame) -> None:
 def settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs that nothing refers to any more: it does so when the
     JVM collects the plans, which hold no memory to speak of and so may stay for long."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)

@@ -11,7 +11,9 @@ Edges are 64-bit hashes of their words (128-bit arithmetic is not needed: what d
 of equal hashes at consecutive places). In each Arrow batch equal edges meet first: later ones have
 found a source there, and one row per distinct edge goes on, so an edge that a third of all documents
 share reaches the shuffle at most once a batch. The hash space is worked through in ROUNDS parts, whose
-hits are written, so the shuffle holds a part of all edges at a time.
+hits are written, so the shuffle holds a part of all edges at a time; there, a batch's edges for one
+bucket of the hash space are one compressed row of about 8 bytes an edge, and the number of buckets
+grows with the text.
 
 Defined results: a null, empty or short text (fewer than K words) loses nothing. A null id is larger
 than all others. Rows with one id are one document's age but are kept apart by a hash of their texts;
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,11 @@ from driftline.llm.common import settle, table, written
 
 K = 13
 ROUNDS = 2
+#: Text whose edges one bucket holds: some 1.5 million, 40 MB in a task.
+BUCKET_BYTES = 10 << 20
 NO_ID = (1 << 63) - 1
 _WORDS = 400_000
+_PRESS = zstandard.ZstdCompressor(level=1)
 
 
 class WordHashes(dict):
@@ -100,39 +106,98 @@ def _edges(batch: pd.DataFrame, words: WordHashes, k: int, part: int, parts: int
     return edge[first], doc[first], place[first], order[first]
 
 
-def _batch(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, rank: np.ndarray) -> pd.DataFrame:
-    """A batch's rows. Those of an edge's smallest document in the batch ask for a smaller one
-    elsewhere; the others have their source, and an apart of their own keeps them from meeting the
-    rows of their edge. Rows are in the order of the texts, in which they compress best."""
+def _planes(values: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, compressed: high bytes cost next to nothing."""
+    return _PRESS.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
+
+
+def _values(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(edge: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+    """Sorted edges with their documents and places, about 8 bytes each."""
+    known, which = np.unique(np.stack([doc, place >> 32], 1), axis=0, return_inverse=True)
+    parts = [_planes(np.diff(edge, prepend=np.uint64(0))), _planes(which.astype(np.uint32).ravel()), _planes((place & 0xFFFFFFFF).astype(np.uint32)), _planes(known.ravel())]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    which, known = _values(parts[1], np.uint32), _values(parts[3], np.int64).reshape(-1, 2)
+    return np.cumsum(_values(parts[0], np.uint64), dtype=np.uint64), known[which, 0], known[which, 1] << 32 | _values(parts[2], np.uint32).astype(np.int64)
+
+
+def _later(edge: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of edges sorted by edge, document and place: whether a row's document is its edge's smallest,
+    and for every row the place in the arrays of its edge's first row."""
     opens = np.ones(len(edge), bool)
     opens[1:] = edge[1:] != edge[:-1]
     head = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(edge) else np.empty(0, np.int64)
-    asks, back = doc == doc[head], np.argsort(rank, kind="stable")
-    source = pd.array(doc[head], "Int64")
-    source_place = pd.array(place[head], "Int64")
-    source[asks], source_place[asks] = pd.NA, pd.NA
-    apart = np.where(asks, 0, doc ^ place | 1)
-    return pd.DataFrame({"edge": edge.view(np.int64), "apart": apart, "doc": doc, "place": place, "source": source, "source_place": source_place}).iloc[back]
+    return doc == doc[head], head
+
 
+def _found(doc: np.ndarray, place: np.ndarray, head: np.ndarray, later: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc": doc[later], "place": place[later], "source": doc[head][later], "source_place": place[head][later]})
 
-def _hits_of(docs: DataFrame, k: int, part: int, rounds: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _hits_of(docs: DataFrame, k: int, part: int, rounds: int, buckets: int) -> DataFrame:
+    """Each batch packs the edges that it asks about, a row per bucket of edges; the hits that it
+    settled itself travel in the row of one bucket. A bucket's rows meet in one group."""
+    step = np.uint64((1 << 64) // buckets + 1)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
         for batch in batches:
-            yield _batch(*_edges(batch, words, k, part, rounds))
-
-    rows = docs.mapInPandas(run, "edge long, apart long, doc long, place long, source long, source_place long")
-    first = F.min(F.struct("doc", "place")).over(Window.partitionBy("edge", "apart"))
-    met = rows.withColumn("first", first).where(F.col("source").isNotNull() | (F.col("first.doc") < F.col("doc")))
-    return written(met.select("doc", "place", F.coalesce("source", "first.doc").alias("source"), F.coalesce("source_place", "first.place").alias("source_place")))
+            edge, doc, place, _ = _edges(batch, words, k, part, rounds)
+            if not len(edge):
+                continue
+            asks, head = _later(edge, doc, place)
+            settled = _found(doc, place, head, ~asks).to_numpy(np.int64)
+            edge, doc, place = edge[asks], doc[asks], place[asks]
+            cuts = np.searchsorted(edge, np.arange(1, buckets, dtype=np.uint64) * step)
+            bounds = [0, *cuts.tolist(), len(edge)]
+            rows = [(b, _packed(edge[x:y], doc[x:y], place[x:y]), None) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]  # noqa: B905
+            for n, x in enumerate(range(0, len(settled), 100_000)):
+                rows.append((int(edge[0] % np.uint64(buckets) + np.uint64(n)) % buckets, None, _planes(settled[x : x + 100_000].ravel())))
+            yield pd.DataFrame(rows, columns=["bucket", "asked", "settled"])
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(_values(bytes(x), np.int64).reshape(-1, 4), columns=["doc", "place", "source", "source_place"]) for x in rows["settled"] if x is not None]
+        asked = [_unpacked(bytes(x)) for x in rows["asked"] if x is not None]
+        if len(asked) > 1:
+            edge, doc, place = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.argsort(edge, kind="stable")
+            edge = edge[order]
+            shared = np.zeros(len(edge), bool)
+            shared[1:] = edge[1:] == edge[:-1]
+            shared[:-1] |= shared[1:]
+            edge, order = edge[shared], order[shared]
+            doc, place = doc[order], place[order]
+            order = np.lexsort((place, doc, edge))
+            edge, doc, place = edge[order], doc[order], place[order]
+            own, head = _later(edge, doc, place)
+            out.append(_found(doc, place, head, ~own))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(np.empty((0, 4), np.int64), columns=["doc", "place", "source", "source_place"])
+
+    rows = docs.mapInPandas(pack, "bucket int, asked binary, settled binary")
+    return written(rows.groupBy("bucket").applyInPandas(meet, "doc long, place long, source long, source_place long"))
 
 
 def hits(docs: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """doc, place, source, source_place of every edge of a document that a smaller document has too;
     place holds a tag of the text above its lower 32 bits. Written, once per edge and document."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, size // (BUCKET_BYTES * rounds) + 1)
     found = None
     for part in range(rounds):
-        here = _hits_of(docs, k, part, rounds)
+        here = _hits_of(docs, k, part, rounds, buckets)
         found = here if found is None else found.unionByName(here)
         settle(docs.sparkSession)
     return found
