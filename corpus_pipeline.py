@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone, row by row.
     """
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out())
-    return docs.mapInPandas(toxicity.below(spark, machine), docs.schema)
+    return docs.mapInArrow(toxicity.below(spark, machine), docs.schema)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

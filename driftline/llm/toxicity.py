@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,14 +162,14 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def below(spark: SparkSession, machine: Machine, limit: float = THRESHOLD, text_col: str = "text"):
-    """A function for mapInPandas that keeps the rows which score below the limit, whole."""
+    """A function for mapInArrow that keeps the rows which score below the limit, untouched."""
     model = spark.sparkContext.broadcast(machine)
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, machine = Terms(), model.value
         for batch in batches:
-            scores = machine.scores([terms.of(x or "") for x in batch[text_col]])
-            yield batch[scores < limit]
+            scores = machine.scores([terms.of(x or "") for x in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array(scores < limit))
 
     return kept
 
