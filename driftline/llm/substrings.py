@@ -8,9 +8,9 @@ coordinates, into spans (document, begin, end, source, source begin), so a span
 row and is confirmed by its source's consecutive places. A word covered by a span goes.
 
 Edges are 64-bit hashes of their words (128-bit arithmetic is not needed: what decides a span is a chain
-of equal hashes at consecutive places). In each Arrow batch equal edges meet first: later ones have
+of equal hashes at consecutive places). In each slice of an Arrow batch equal edges meet first: later ones have
 found a source there, and one row per distinct edge goes on, so an edge that a third of all documents
-share reaches the shuffle at most once a batch. The hash space is worked through in ROUNDS parts, whose
+share reaches the shuffle at most once a slice. The hash space is worked through in ROUNDS parts, whose
 hits are written, so the shuffle holds a part of all edges at a time; there, a batch's edges for one
 bucket of the hash space are one compressed row of about 8 bytes an edge, and the number of buckets
 grows with the text.
@@ -39,7 +39,8 @@ ROUNDS = 2
 #: Text whose edges one bucket holds: some 1.5 million, 40 MB in a task.
 BUCKET_BYTES = 10 << 20
 NO_ID = (1 << 63) - 1
-_WORDS = 400_000
+SLICE = 8 << 20
+_WORDS = 200_000
 _PRESS = zstandard.ZstdCompressor(level=1)
 
 
@@ -86,24 +87,29 @@ def _tag(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode()) >> 1
 
 
+def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The batch in parts of about SLICE characters, so that a task's arrays stay small."""
+    part = batch["text"].str.len().cumsum() // SLICE
+    yield from (rows for _, rows in batch.groupby(part.to_numpy(), sort=False))
+
+
 def _edges(batch: pd.DataFrame, words: WordHashes, k: int, part: int, parts: int) -> tuple[np.ndarray, ...]:
-    """(edge, document, place, rank by document and place) of the part's edges, by edge, document and
-    place, once per edge and document."""
-    edges, docs, places = [], [], []
-    for doc, text in sorted(zip(batch["doc"], batch["text"], strict=True)):
+    """(edge, document, place, number of the row in the batch) of the part's edges, by edge, document
+    and place, once per edge and row."""
+    edges, docs, places, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n, (doc, text) in enumerate(sorted(zip(batch["doc"], batch["text"], strict=True))):
         h = windows(words.of(text.encode().split()), k)
         at = np.flatnonzero(h % np.uint64(parts) == part)
         edges.append(h[at])
         docs.append(np.full(len(at), doc, np.int64))
         places.append(at + (_tag(text) << 32))
-    if not edges:
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
-    edge, doc, place = np.concatenate(edges), np.concatenate(docs), np.concatenate(places)
+        rows.append(np.full(len(at), n, np.int64))
+    edge, doc, place, row = np.concatenate(edges), np.concatenate(docs), np.concatenate(places), np.concatenate(rows)
     order = np.argsort(edge, kind="stable")
-    edge, doc, place = edge[order], doc[order], place[order]
+    edge, doc, place, row = edge[order], doc[order], place[order], row[order]
     first = np.ones(len(edge), bool)
-    first[1:] = (edge[1:] != edge[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] >> 32 != place[:-1] >> 32)
-    return edge[first], doc[first], place[first], order[first]
+    first[1:] = (edge[1:] != edge[:-1]) | (row[1:] != row[:-1])
+    return edge[first], doc[first], place[first], row[first]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -116,10 +122,14 @@ def _values(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _packed(edge: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
+def _packed(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, row: np.ndarray) -> bytes:
     """Sorted edges with their documents and places, about 8 bytes each."""
-    known, which = np.unique(np.stack([doc, place >> 32], 1), axis=0, return_inverse=True)
-    parts = [_planes(np.diff(edge, prepend=np.uint64(0))), _planes(which.astype(np.uint32).ravel()), _planes((place & 0xFFFFFFFF).astype(np.uint32)), _planes(known.ravel())]
+    last = np.full(row.max() + 1, -1)
+    last[row] = np.arange(len(row))
+    used = last[last >= 0]
+    which = (np.cumsum(last >= 0) - 1)[row]
+    known = np.stack([doc[used], place[used] >> 32], 1)
+    parts = [_planes(np.diff(edge, prepend=np.uint64(0))), _planes(which.astype(np.uint32)), _planes((place & 0xFFFFFFFF).astype(np.uint32)), _planes(known.ravel())]
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
@@ -153,16 +163,16 @@ def _hits_of(docs: DataFrame, k: int, part: int, rounds: int, buckets: int) -> D
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
-        for batch in batches:
-            edge, doc, place, _ = _edges(batch, words, k, part, rounds)
+        for batch in (part for whole in batches for part in _slices(whole)):
+            edge, doc, place, row = _edges(batch, words, k, part, rounds)
             if not len(edge):
                 continue
             asks, head = _later(edge, doc, place)
             settled = _found(doc, place, head, ~asks).to_numpy(np.int64)
-            edge, doc, place = edge[asks], doc[asks], place[asks]
+            edge, doc, place, row = edge[asks], doc[asks], place[asks], row[asks]
             cuts = np.searchsorted(edge, np.arange(1, buckets, dtype=np.uint64) * step)
             bounds = [0, *cuts.tolist(), len(edge)]
-            rows = [(b, _packed(edge[x:y], doc[x:y], place[x:y]), None) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]  # noqa: B905
+            rows = [(b, _packed(edge[x:y], doc[x:y], place[x:y], row[x:y]), None) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]  # noqa: B905
             for n, x in enumerate(range(0, len(settled), 100_000)):
                 rows.append((int(edge[0] % np.uint64(buckets) + np.uint64(n)) % buckets, None, _planes(settled[x : x + 100_000].ravel())))
             yield pd.DataFrame(rows, columns=["bucket", "asked", "settled"])
