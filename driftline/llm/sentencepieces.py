@@ -23,6 +23,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from driftline.llm.common import table
 
 SPACE = "▁"
-_MEMO = 150_000
+_MEMO = 250_000
 
 
 class CharacterMap:
@@ -229,6 +230,12 @@ class Codec:
         return text[1:] if self.settings.add_dummy_prefix and text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """A worker's codec of a model file: a later task in the same worker finds the chunks of earlier ones."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends", "decoded"), end_id: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and any of ids, begins, ends (source bytes of every id; the end
     id spans nothing at the end), decoded, n_tokens, n_bytes_spanned, ids_sha256, decoded_sha256."""
@@ -236,7 +243,7 @@ def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids",
     spans_asked = bool({"begins", "ends"} & {*columns})
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         tail = [codec.end] * end_id
         digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
