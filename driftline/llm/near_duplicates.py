@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table, written
+from driftline.llm.common import release, table, written
 from driftline.llm.components import components
 from driftline.llm.substrings import NO_ID, WordHashes, windows
 
@@ -203,7 +203,10 @@ def _verified(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(one) + len(other) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"))
+    out = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"))
+    release(pairs)
+    release(texts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -224,6 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     mixed = joined.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     rest = written(joined.join(mixed, "key"))
     more = _verified(_likely(_across(rest, nodes), nodes), drawn, percent)
+    release(rest)
+    release(members)
     labels = components(links.unionByName(more))
 
     owned = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import settle, table, written
+from driftline.llm.common import release, settle, table, written
 
 K = 13
 ROUNDS = 2
@@ -199,16 +200,16 @@ def _hits_of(docs: DataFrame, k: int, part: int, rounds: int, buckets: int) -> D
     return written(rows.groupBy("bucket").applyInPandas(meet, "doc long, place long, source long, source_place long"))
 
 
-def hits(docs: DataFrame, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """doc, place, source, source_place of every edge of a document that a smaller document has too;
-    place holds a tag of the text above its lower 32 bits. Written, once per edge and document."""
+def hits(docs: DataFrame, k: int = K, rounds: int = ROUNDS) -> list[DataFrame]:
+    """doc, place, source, source_place of every edge of a document that a smaller document has too,
+    once per edge and document; place holds a tag of the text above its lower 32 bits. A written table
+    a round."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, size // (BUCKET_BYTES * rounds) + 1)
-    found = None
+    found = []
     for part in range(rounds):
-        here = _hits_of(docs, k, part, rounds, buckets)
-        found = here if found is None else found.unionByName(here)
+        found.append(_hits_of(docs, k, part, rounds, buckets))
         settle(docs.sparkSession)
     return found
 
@@ -229,7 +230,10 @@ def removals(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
     by one space) and kept_sha256."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     plain = docs.select(key.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chains = written(spans(hits(plain, k), k))
+    found = hits(plain, k)
+    chains = written(spans(reduce(DataFrame.unionByName, found), k))
+    for part in found:
+        release(part)
     settle(docs.sparkSession)
     covered = chains.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
 
