@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from driftline.llm.common import table
 
 SPACE = "▁"
-_MEMO = 250_000
+#: Chunks in one of a worker's two generations, and rows whose ids are held at a time.
+_MEMO = 120_000
+PART = 256
 
 
 class CharacterMap:
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids",
                 out["decoded_sha256"] = digest(said)
             return out
 
-        for batch in batches:
+        for batch in (whole.iloc[at : at + PART] for whole in batches for at in range(0, len(whole), PART)):
             rows = [row(x) for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], **{c: [r[c] for r in rows] for c in columns}})
 
