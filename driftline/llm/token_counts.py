@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -81,11 +82,17 @@ class Unigrams:
         return out, nodes
 
 
+@lru_cache(maxsize=2)
+def _worker(path: str) -> tuple[Unigrams, dict[str, int]]:
+    """A worker's vocabulary and the counts it has met, for all its tasks."""
+    return Unigrams.load(path), {}
+
+
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, max_word_tokens (tokens of the costliest word) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, memo = Unigrams.load(model_path), {}
+        vocabulary, memo = _worker(model_path)
         for batch in batches:
             for part in range(0, len(batch), 512):
                 rows = batch.iloc[part : part + 512]
