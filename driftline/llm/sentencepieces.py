@@ -33,7 +33,7 @@ from driftline.llm.common import table
 
 SPACE = "▁"
 #: Chunks in one of a worker's two generations, and rows whose ids are held at a time.
-_MEMO = 120_000
+_MEMO = 200_000
 PART = 256
 
 
