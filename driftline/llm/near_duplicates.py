@@ -137,8 +137,8 @@ def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
     width = 2 * ROWS
 
     def pairs(group: pd.DataFrame) -> list[np.ndarray]:
-        # the largest label last: its members need not meet each other
-        order = group["label"].map(group["label"].value_counts()).to_numpy().argsort(kind="stable")
+        # labels by size, each in one run, the largest last: its members need not meet each other
+        order = np.lexsort((group["label"], group["label"].map(group["label"].value_counts())))
         node, label, block, size = (group[c].to_numpy()[order] for c in ("node", "label", "block", "n_shingles"))
         full = np.frombuffer(b"".join(group["registers"].iloc[order]), np.uint8).reshape(len(order), -1)
         bands, bytes_ = full.reshape(len(order), -1, width), full[:, ::2]

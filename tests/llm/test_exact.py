@@ -76,6 +76,23 @@ def test_a_large_group_of_near_copies_is_one_component(spark, table_of):
     assert found == {i: c for i, (_, c) in plain.components(rows).items()}
 
 
+def test_components_of_one_size_meet_in_a_bucket(spark):
+    np = near_duplicates.np
+    # a bucket for each pair across two interleaved components of two members: that pair alone agrees
+    rest, nodes, want = [], [], set()
+    for k, link in enumerate([(0, 1), (0, 3), (1, 2), (2, 3)]):
+        made = [near_duplicates.registers(np.random.default_rng(10 * k + i).integers(0, 1 << 63, 500).astype(np.uint64)) for i in range(4)]
+        made[link[1]] = made[link[0]].copy()
+        for i, r in enumerate(made):
+            r[: near_duplicates.ROWS] = 7
+            rest.append((0, k, 10 * k + i, 10 * k + i % 2))
+            nodes.append((10 * k + i, 500, bytearray(r.tobytes())))
+        want.add((10 * k + link[0], 10 * k + link[1]))
+    rest = spark.createDataFrame(rest, "band int, key long, node long, label long").coalesce(1)
+    nodes = spark.createDataFrame(nodes, "node long, n_shingles long, registers binary").coalesce(1)
+    assert {(min(r), max(r)) for r in near_duplicates._across(rest, nodes).collect()} == want
+
+
 @pytest.mark.parametrize("rows", [corpus(9), EMPTY], ids=["corpus", "empty"])
 def test_quality_rules(spark, table_of, rows):
     rows = [(i, t) for i, t in rows if i != 8]
