@@ -4,7 +4,9 @@ A document is the set of its lower-cased terms, words and beginnings of words, e
 one of 2^18 buckets. The score is
 sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>): the pair part learns interactions, such
 as an insult together with the mention of a group, that an additive model cannot hold. Only buckets
-whose label counts in the sample differ from chance have parameters; all others count as 0, so
+whose label counts in the sample differ from chance have parameters, alone or in a pair: every pair
+of buckets that are common or differ alone is counted, and both get parameters where the pair's share
+of label 1 is beyond those of either alone and of both added. All others count as 0, so
 the length of a document does not drown its few telling terms.
 
 The model is fitted in numpy on a sample of at most about TRAIN_ROWS labelled documents of up to
@@ -37,6 +39,9 @@ TRAIN_BYTES = 1 << 16
 RANK = 4
 #: Buckets with parameters, and the least evidence for one in standard deviations.
 FEATURES, EVIDENCE = 4_000, 3.0
+#: Share of the sample's documents from which a bucket's pairs are counted whatever its own label counts,
+#: the least evidence for a pair, and the buckets counted at once.
+COMMON, PAIR_EVIDENCE, COUNTED = 0.01, 6.5, 1000
 #: A word's first characters, so many, are terms too: inflected forms share them.
 BEGINNINGS = (4, 5)
 THRESHOLD = 0.3
@@ -87,7 +92,7 @@ class Machine:
 
 
 def _chosen(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Place of each bucket among those whose share of label 1 is far from the sample's."""
+    """Place of each bucket among those whose share of label 1, alone or in a pair, is far from chance."""
     n, ones, share = np.zeros(BUCKETS), np.zeros(BUCKETS), y.mean()
     for at in range(0, len(docs), 500):
         part = docs[at : at + 500]
@@ -97,11 +102,48 @@ def _chosen(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     z = np.abs(ones - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share) + 0.5)
     best = np.argsort(-z, kind="stable")[:FEATURES]
     best = best[(z[best] >= EVIDENCE) & (n[best] >= 3)]
+    met = np.union1d(best, np.flatnonzero((n >= 3) & (n >= COMMON * len(docs))))
+    best = np.concatenate([best, np.setdiff1d(_paired(docs, y, met, n[met], ones[met]), best)])
     place = np.full(BUCKETS, -1, np.int32)
     place[best] = np.arange(len(best))
     return place
 
 
+def _paired(docs: list[np.ndarray], y: np.ndarray, met: np.ndarray, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The buckets of met (with their counts) that have a pair in met whose share of label 1 lies beyond
+    the sample's, those of both buckets and that of their log odds added. All pairs are counted."""
+    at = np.full(BUCKETS, -1, np.int32)
+    at[met] = np.arange(len(met))
+    kept = [p[p >= 0] for p in (at[x] for x in docs)]
+    column, row = np.concatenate(kept), np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in kept])
+    order = column.argsort(kind="stable")
+    column, row = column[order], row[order]
+    share, rates = y.mean(), ((ones + y.mean()) / (n + 1)).astype(np.float32)
+    odds, base, positive = np.log(rates / (1 - rates)), np.float32(np.log(share / (1 - share))), np.flatnonzero(y)
+
+    def dense(begin: int) -> np.ndarray:
+        part = slice(*np.searchsorted(column, (begin, begin + COUNTED)))
+        out = np.zeros((len(docs), min(COUNTED, len(met) - begin)), np.float32)
+        out[row[part], column[part] - begin] = 1
+        return out
+
+    found = np.zeros(len(met), bool)
+    for i in range(0, len(met), COUNTED):
+        left = dense(i)
+        for j in range(i, len(met), COUNTED):
+            right = left if i == j else dense(j)
+            together, both = left.T @ right, left[positive].T @ right[positive]
+            a, b = np.nonzero(together >= 3)
+            c, p, x, y_ = together[a, b], both[a, b], a + i, b + j
+            added = 1 / (1 + np.exp(base - odds[x] - odds[y_]))
+            high = np.maximum(np.maximum(rates[x], rates[y_]), np.maximum(added, share))
+            low = np.minimum(np.minimum(rates[x], rates[y_]), np.minimum(added, share))
+            spread = lambda e: np.sqrt(c * e * (1 - e) + 0.5)
+            far = (x != y_) & (((p - c * high) >= PAIR_EVIDENCE * spread(high)) | ((c * low - p) >= PAIR_EVIDENCE * spread(low)))
+            found[x[far]] = found[y_[far]] = True
+    return met[found]
+
+
 def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 30, seed: int = 7) -> Machine:
     """Adam on the logistic loss with L2, in batches. docs: arrays of distinct buckets."""
     y = np.asarray(y, float)

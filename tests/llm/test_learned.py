@@ -37,6 +37,29 @@ def test_interaction_of_two_terms():
     assert ranks(machine.scores(made), y) > 0.9 or len(machine.weights) == 0
 
 
+def test_terms_that_tell_only_in_pairs_have_factors():
+    np, terms = toxicity.np, toxicity.Terms()
+    docs = [(a, b, i) for i in range(200) for a in (0, 1) for b in (0, 1)]
+    made = [terms.of(f"{'ins' if a else 'kind'} {'grp' if b else 'none'} filler{i % 7}") for a, b, i in docs]
+    y = [int(a != b) for a, b, _ in docs]
+    machine = toxicity.fit(made, np.array(y))
+    assert ranks(machine.scores(made), y) > 0.9
+    # a group word that is neutral alone: 1,000 of 4,000 documents, a share of label 1 near that of all
+    rng = np.random.default_rng(3)
+    made, y, case = [], [], []
+    for i in range(4000):
+        group, insult = i % 4 == 0, i % 40 in (0, 1, 2)
+        made.append(terms.of(" ".join([*(f"w{rng.integers(900)}" for _ in range(60)), *["grp"] * group, *["ins"] * insult])))
+        case.append((group, insult))
+        y.append(int(group and insult or rng.random() < (0.03 if group else 0.05)))
+    machine = toxicity.fit(made, np.array(y))
+    assert (machine.place[terms.of("grp ins")] >= 0).all()
+    scores = machine.scores(made)
+    mean = lambda g, t: np.mean([s for s, c in zip(scores, case, strict=True) if c == (g, t)])
+    assert mean(True, True) > 0.7
+    assert max(mean(True, False), mean(False, True), mean(False, False)) < 0.15
+
+
 def test_no_labels_and_odd_texts(spark, table_of):
     rows = [(1, None), (2, ""), (3, "x" * 200_000), (4, "word " * 30_000), (None, "null id"), (5, "dup"), (5, "dup")]
     d = table_of(rows, labels=([], "doc_id long, quality int, toxic int"))
