@@ -1,16 +1,18 @@
 """Licence scans: sparse TF-IDF cosines to templates, then inheritance from the nearest directory.
 
-Units of a file are its lines (a header is one of them) and the file as a whole. A unit's terms are
-weighted by tf * idf, idf taken over the templates; terms that no template has weigh most and only
-lengthen the unit. The best cosine of a line names a file's header licence, that of the whole text
+Units of a file are its lines, its blocks of consecutive lines (paragraphs, and runs of comment lines)
+and the file as a whole. Templates are short notices, SPDX tags and headers of several lines, and whole
+licence texts, each kind a model of its own. A unit's terms are
+weighted by tf * idf, idf taken over a model's templates; terms that no template has weigh most and only
+lengthen the unit. The best cosine of a line or block names a file's header licence, that of the whole text
 makes it a licence file, whose licence holds for its directory and all below it. A file without a
 licence of its own takes that of its nearest ancestor directory that has one: the distinct
 directories are expanded to their ancestors, joined with the licensed ones by path, and the deepest
 match wins. Only files that mention a licence at all are cut into units, and units meet the templates
-by an equi-join on terms. The template table has a few hundred rows whatever the input, and alone is
+by an equi-join on terms. The template table has some thousands of rows whatever the input, and alone is
 broadcast. Only DataFrame functions are used.
 
-Defined results: a null text has no licence; a null path lies in the root directory; a line scores by
+Defined results: a null text has no licence; a null path lies in the root directory; a unit scores by
 its best template (ties: the first name). Several licence files in one directory: the highest score,
 then the first path. Repeated rows give equal rows; an empty table gives an empty result. Columns
 other than the id, path and text are not read.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,19 +53,60 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, {1}."
+_LATER = "either version {} of the License, or (at your option) any later version"
+_NO_WARRANTY = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details. You should have received a copy of the GNU {0} Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+_GNU_HEADERS = (("AGPL-3.0", "Affero General", "3"), ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"))
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_REST = ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+#: SPDX tags, and headers that take several lines: their first paragraphs and the whole of them.
+HEADERS: tuple[tuple[str, str], ...] = (
+    *((name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in TEMPLATES} | {"LGPL-2.1"})),
+    *((name, f"SPDX-License-Identifier: {name}-{kind}") for name, _, _ in _GNU_HEADERS for kind in ("only", "or-later")),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + _APACHE_REST),
+    ("BSD-3-Clause", "All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((name, _GNU.format(which, held.format(v)) + rest.format(which)) for name, which, v in _GNU_HEADERS for held in (_LATER, "version {}") for rest in ("", _NO_WARRANTY)),
+)
+
+
+def _texts() -> tuple[tuple[str, str], ...]:
+    """Whole licence texts. That of the AGPL is the GPL's with its own name and section 13."""
+    found = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    gpl = found["GPL-3.0"]
+    begin, end = gpl.index("  13. Use with the GNU Affero"), gpl.index("  14. Revised Versions")
+    remote = (
+        "  13. Remote Network Interaction; Use with the GNU General Public License.\n\n"
+        "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users "
+        "interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the "
+        "Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some "
+        "standard or customary means of facilitating copying of software.\n\n"
+    )
+    named = lambda x: re.sub(r"(?i)(GNU) (General Public)", lambda m: f"{m[1]} {'AFFERO' if m[2].isupper() else 'Affero'} {m[2]}", x)
+    found["AGPL-3.0"] = named(gpl[:begin]) + remote + named(gpl[end:])
+    # the GNU texts end in instructions, which copies may lack
+    short = [(n, t.split("END OF TERMS AND CONDITIONS")[0]) for n, t in found.items() if "END OF TERMS AND CONDITIONS" in t]
+    return (*sorted(found.items()), *short)
+
+
 #: A file without any of these is cut no further.
 MENTION = r"(?i)licen[sc]e|spdx|copyright|permission|public domain|free software|\bCC[ -]?(?:BY|0)"
 HEADER, WHOLE = 0.7, 0.8
+#: What a comment line begins with.
+_COMMENT = r"[ \t]*+(?:#|//|/?\*|--|;|%|<!--)"
+#: Units from here on are blocks.
+_BLOCKS = 1 << 30
 _TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
-def _model() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
+def _model(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
     """(licence, template, term, weight / norm) rows, idf by term, and the idf of other terms."""
-    terms = [Counter(re.findall(_TERM, text.lower())) for _, text in TEMPLATES]
-    n = len(TEMPLATES)
-    idf = {t: 1 + math.log((1 + n) / (1 + sum(t in c for c in terms))) for c in terms for t in c}
+    terms = [Counter(re.findall(_TERM, text.lower())) for _, text in templates]
+    n = len(templates)
+    idf = {t: 1 + math.log((1 + n) / (1 + sum(t in c for c in terms))) for t in set().union(*terms)}
     rows = []
-    for i, ((name, _), counts) in enumerate(zip(TEMPLATES, terms, strict=True)):
+    for i, ((name, _), counts) in enumerate(zip(templates, terms, strict=True)):
         norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in counts.items()))
         rows += [(name, i, t, k * idf[t] / norm) for t, k in sorted(counts.items())]
     return rows, idf, 1 + math.log(1 + n)
@@ -70,19 +114,30 @@ def _model() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float
 
 def cosines(units: DataFrame) -> DataFrame:
     """_row, unit, licence, score: the best template of every unit (_row, unit, text) that has one."""
-    rows, idf, other = _model()
     spark = units.sparkSession
-    weights = spark.createDataFrame(rows, "licence string, template int, term string, weight double")
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    models = [_model(x) for x in (TEMPLATES, HEADERS, _texts())]
+    weights = spark.createDataFrame([(k, *row) for k, (rows, _, _) in enumerate(models) for row in rows], "model int, licence string, template int, term string, weight double")
+    every = sorted({t for _, idf, _ in models for t in idf})
+    known = spark.createDataFrame([(t, [idf.get(t, other) for _, idf, other in models]) for t in every], "term string, idfs array<double>")
+    others = F.array(*(F.lit(other) for _, _, other in models))
     terms = units.select("_row", "unit", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_TERM})"), F.lit(1))).alias("term")).groupBy("_row", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = weighed.groupBy("_row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.where("idf IS NOT NULL").join(F.broadcast(weights), "term").groupBy("_row", "unit", "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["_row", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    weighed = terms.join(F.broadcast(known), "term", "left")
+    square = lambda k: F.col("tf") * F.get(F.coalesce("idfs", others), F.lit(k)) * F.col("tf") * F.get(F.coalesce("idfs", others), F.lit(k))
+    norms = weighed.groupBy("_row", "unit").agg(F.array(*(F.sqrt(F.sum(square(k))) for k in range(len(models)))).alias("norms"))
+    met = weighed.where("idfs IS NOT NULL").join(F.broadcast(weights), "term").withColumn("w", F.col("tf") * F.get("idfs", F.col("model")))
+    dots = met.groupBy("_row", "unit", "model", "licence", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, ["_row", "unit"]).withColumn("score", F.round(F.col("dot") / F.get("norms", F.col("model")), 6))
     best = scored.groupBy("_row", "unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     return best.select("_row", "unit", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
+def blocks(text: Column) -> Column:
+    """Paragraphs and runs of comment lines, of two lines or more."""
+    paragraphs = F.split(text, r"\n[^\p{L}\p{N}]*\n")
+    runs = F.transform(F.split(text, rf"\n(?!{_COMMENT})"), lambda x: F.regexp_replace(x, rf"^(?!{_COMMENT})[^\n]*\n", ""))
+    return F.filter(F.array_distinct(F.concat(paragraphs, runs)), lambda x: x.contains("\n") & x.rlike(MENTION))
+
+
 def ancestors(directory: Column) -> Column:
     """The directory and all above it, the root "" included, deepest first."""
     parts = F.filter(F.split(directory, "/"), lambda x: x != "")
@@ -95,7 +150,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     rows = written(files.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.when(F.coalesce(F.col(text_col), F.lit("")).rlike(MENTION), F.col(text_col)).alias("text")))
     named = rows.where("text IS NOT NULL")
     lines = named.select("_row", F.posexplode(F.split("text", "\n")).alias("unit", "text")).where(F.col("text").rlike(MENTION)).withColumn("unit", F.col("unit") + 1)
-    found = written(cosines(lines.unionByName(named.select("_row", F.lit(0).alias("unit"), "text"))))
+    several = named.select("_row", F.posexplode(blocks(F.col("text"))).alias("unit", "text")).withColumn("unit", F.col("unit") + _BLOCKS)
+    found = written(cosines(lines.unionByName(several).unionByName(named.select("_row", F.lit(0).alias("unit"), "text"))))
     header = found.where((F.col("unit") > 0) & (F.col("score") >= HEADER)).groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("s"), "unit", "licence")).alias("h"))
     header = header.select("_row", F.col("h.licence").alias("header_licence"), (-F.col("h.s")).alias("header_score"))
     whole = found.where((F.col("unit") == 0) & (F.col("score") >= WHOLE)).select("_row", F.col("licence").alias("file_licence"), F.col("score").alias("file_score"))

@@ -251,6 +251,48 @@ def test_licences(spark):
     assert found == {1: ("MIT", "p", "MIT"), 2: (None, "p/a", "Apache-2.0"), 3: ("Apache-2.0", "p/a", "Apache-2.0"), 4: ("CC-BY-NC-4.0", None, "CC-BY-NC-4.0"), 5: (None, None, None), 6: (None, None, None), 7: (None, "p", "MIT")}
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2019-2024 Ada Example and the Example contributors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_whole_licence_files_are_found_and_inherited(spark):
+    whole = dict(licenses._texts()[::-1])
+    files = [("MIT/LICENSE", MIT)]
+    files += [(f"{name}/COPYING", "Copyright (c) 2020 Ada Example\n\n" + " ".join(text.split())) for name, text in whole.items() if name != "MIT"]
+    files += [(f"{name}/src/deep/x.py", "import os\n") for name in whole]
+    found = {r["path"]: (r["file_licence"], r["inherited_from"], r["licence"]) for r in licenses.scan(spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "doc_id long, path string, text string")).collect()}
+    assert {"MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "ISC", "BSD-2-Clause", "BSD-3-Clause"} <= set(whole)
+    for name in whole:
+        assert found[f"{name}/src/deep/x.py"] == (None, name, name)
+    assert found["MIT/LICENSE"][0] == "MIT"
+
+
+def test_headers_of_several_lines_and_tags(spark):
+    code = "\nimport os\n\n" + "x = 1\n" * 30
+    notice = "Licensed under the Apache\nLicense, Version 2.0 (the\n\"License\"); you may not\nuse this file except in\ncompliance with the\nLicense."
+    headers = [("MIT", "# SPDX-License-Identifier: MIT"), ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */"), ("Apache-2.0", "# " + notice.replace("\n", "\n# ")), ("Apache-2.0", "/*\n" + notice + "\n*/")]
+    headers += [("MIT", "// " + MIT.replace("\n", "\n// ")), (None, "# nothing\n# about a license")]
+    files = [(i, f"s/{i}.py", h + code) for i, (_, h) in enumerate(headers)]
+    found = {r["doc_id"]: r["header_licence"] for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(headers)}
+
+
 def test_licences_of_documents(spark, table_of):
     notices = {name: text for name, text in licenses.TEMPLATES}
     rows = [(i, f"first line\n{text}\nlast line") for i, text in enumerate(notices.values())] + [(90, None), (91, "")]
