@@ -4,7 +4,8 @@ A fingerprint keeps every hash of a document's 3-word shingles that lies in the
 hash range. Which hashes are kept depends on the hash alone, so fingerprints merge by union and give
 the containment of a short text in a very long one as well as the likeness of two texts. Where fewer
 than FEW hashes fall in that range, the FEW smallest are kept (a union keeps that rule), so a short
-text has a fingerprint too. Only DataFrame functions are used.
+text has a fingerprint too. Such a fingerprint covers the range up to its largest hash, or all of it
+with fewer than FEW; two are compared over the range that both cover. Only DataFrame functions are used.
 
 Defined results: null counts as empty; a text without words has the empty fingerprint, which is like
 another empty one (1) and unlike all others (0); one or two words are one shingle. Equal texts have
@@ -51,15 +52,36 @@ def merged(one: Column, other: Column) -> Column:
     return let(F.array_union(one, other), _kept)
 
 
+def _reach(s: Column) -> Column:
+    """The largest hash up to which a sketch has all of its text's."""
+    last = F.get(s, F.size(s) - 1)
+    return F.when(F.size(s) < FEW, F.lit((1 << 63) - 1)).when(last < _BOUND, F.lit(_BOUND - 1)).otherwise(last)
+
+
+def _shared(one: Column, other: Column, body) -> Column:
+    """body of the parts of both sketches in the range that both cover."""
+    pair = F.struct(one.alias("a"), other.alias("b"), F.least(_reach(one), _reach(other)).alias("top"))
+    return let(pair, lambda p: body(F.filter(p["a"], lambda x: x <= p["top"]), F.filter(p["b"], lambda x: x <= p["top"])))
+
+
 def likeness(one: Column, other: Column) -> Column:
-    """Share of common hashes among all of two sketches; 1 for two empty ones."""
-    every = F.size(F.array_union(one, other))
-    return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(one, other)) / every)
+    """Share of common hashes among all of two sketches, where both cover; 1 for two empty ones."""
+
+    def body(a: Column, b: Column) -> Column:
+        every = F.size(F.array_union(a, b))
+        return F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / every)
+
+    return _shared(one, other, body)
 
 
 def containment(part: Column, whole: Column) -> Column:
-    """Share of the first sketch's hashes that the second has; 1 where the first is empty."""
-    return F.when(F.size(part) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part))
+    """Share of the first sketch's hashes that the second has, where both cover; 1 where the first is
+    empty, null where none of its hashes lies there: then the sketches do not tell."""
+
+    def body(a: Column, b: Column) -> Column:
+        return F.when(F.size(part) == 0, F.lit(1.0)).when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+
+    return _shared(part, whole, body)
 
 
 def printed(hashes: Column) -> Column:

@@ -136,6 +136,28 @@ def test_fingerprints_merge_and_contain(spark):
     assert tuple(r) == (1.0, 1.0, 0.0, True)
 
 
+def test_short_texts_are_compared_where_both_sketches_cover(spark):
+    F, rng = fingerprints.F, random.Random(8)
+    rows = []
+    for i in range(360):
+        n = (5, 10, 20, 40, 60, 100)[i % 6]
+        w = [f"r{rng.randrange(10**9)}" for _ in range(3000)]
+        rows.append((n, " ".join(w[50 : 50 + n]), " ".join(w), " ".join(w[50 : 50 + 3 * (n - 2) + 2]), " ".join(w[1000:1200])))
+    s = {c: fingerprints.sketch(F.col(c)) for c in ("part", "whole", "thrice", "other")}
+    made = spark.createDataFrame(rows, "n int, part string, whole string, thrice string, other string").select("n", *(x.alias(c) for c, x in s.items()))
+    c, like = fingerprints.containment, fingerprints.likeness
+    got = made.select("n", c(F.col("part"), F.col("whole")).alias("inside"), c(F.col("part"), F.col("other")).alias("outside"), c(F.col("part"), F.col("thrice")).alias("near"), like(F.col("part"), F.col("thrice")).alias("third"), like(F.col("part"), F.col("other")).alias("none")).collect()
+    for n in (5, 10, 20, 40, 60, 100):
+        of = [r for r in got if r["n"] == n]
+        # a text inside another is so in every range, or has no hash there; from 20 words on that is rare
+        assert {r["inside"] for r in of} <= {1.0, None}
+        assert {r["outside"] for r in of} <= {0.0, None}
+        assert {r["near"] for r in of} <= {1.0, None}
+        assert {r["none"] for r in of} == {0.0}
+        assert sum(r["inside"] is None for r in of) <= (52, 32, 14, 4, 1, 0)[(5, 10, 20, 40, 60, 100).index(n)]
+        assert abs(sum(r["third"] for r in of) / len(of) - 1 / 3) < 0.07
+
+
 def test_encoding_is_the_library_s(spark, table_of):
     rows = [*corpus(4), (20, "  two  spaces "), (21, "▁ mark"), (22, "tab\tnew\n\nline 🙂 \x00 <s>"), (23, " ")]
     own = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.model_file())
