@@ -1,8 +1,9 @@
 """Quality by a byte-level convolutional network in numpy.
 
-Every byte is embedded, learned filters of WIDTH bytes slide over the document in steps of STRIDE,
+Every byte is embedded, learned filters of WIDTH bytes slide over the document byte by byte (in
+steps of STRIDE, from each of the first STRIDE bytes),
 each filter keeps its maximum over the whole document, and the maxima combine into one probability.
-Long documents are cut into chunks that overlap by WIDTH - STRIDE bytes, so each window lies in one
+Long documents are cut into chunks that overlap by WIDTH bytes, so each window lies in one
 chunk and the maximum over chunks is that over the document: memory is bounded by a block of chunks
 however long a text is, and no byte is left out.
 
@@ -51,9 +52,9 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.shift, -30, 30)))
 
 
-def _padded(piece: bytes) -> np.ndarray:
-    """Symbols of a chunk, padded to whole steps and by one more step, so that it has a window."""
-    n = max(1, -(-len(piece) // STRIDE)) + 1
+def _padded(piece: bytes, last: bool) -> np.ndarray:
+    """Symbols of a chunk; a text's end is padded to whole steps and by one more step, so that it has a window."""
+    n = max(1, -(-len(piece) // STRIDE)) + last
     found = np.full(n * STRIDE, 256, np.int16)
     found[: len(piece)] = np.frombuffer(piece, np.uint8)
     return found
@@ -64,7 +65,7 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     owners, chunks, held = [], [], 0
     for i, text in enumerate(texts):
         for at in range(0, max(len(text) - (WIDTH - STRIDE), 1), CHUNK):
-            chunks.append(_padded(text[at : at + CHUNK + WIDTH - STRIDE]))
+            chunks.append(_padded(text[at : at + CHUNK + WIDTH], at + CHUNK + WIDTH >= len(text)))
             owners.append(i)
             held += len(chunks[-1])
             if held >= BLOCK:
@@ -80,24 +81,28 @@ def pool(net: Network, texts: list[bytes], places: bool = False) -> tuple[np.nda
     windows = np.full((len(texts), FILTERS, WIDTH), 256, np.int16) if places else None
     for owners, chunks in _blocks(texts):
         symbols = np.concatenate(chunks)
-        steps = net.embed[symbols].reshape(-1, STRIDE * EMBED)
-        hidden = steps[:-1] @ net.first
-        hidden += steps[1:] @ net.second
-        hidden += net.bias
         ends = np.cumsum([len(c) // STRIDE for c in chunks])
-        starts = np.concatenate([[0], ends[:-1]])
-        if places:
-            for i, a, b in zip(owners, starts, ends - 1, strict=True):
-                at = hidden[a:b].argmax(0)
-                top = hidden[a + at, np.arange(FILTERS)]
-                better = top > best[i]
-                best[i][better] = top[better]
-                windows[i][better] = symbols[((a + at[better]) * STRIDE)[:, None] + np.arange(WIDTH)]
-        else:
-            # a chunk's windows end one step before it does; the odd segments are the steps between
-            cuts = np.stack([starts, ends - 1], 1).ravel()[: 2 * len(chunks)]
-            tops = np.maximum.reduceat(hidden, np.minimum(cuts, len(hidden) - 1), axis=0)[::2]
-            np.maximum.at(best, owners, tops)
+        begins, owned = np.concatenate([[0], ends[:-1]]), np.array(owners)
+        for phase in range(STRIDE):
+            steps = net.embed[symbols[phase : len(symbols) - (STRIDE - phase) % STRIDE]].reshape(-1, STRIDE * EMBED)
+            hidden = steps[:-1] @ net.first
+            hidden += steps[1:] @ net.second
+            hidden += net.bias
+            # a chunk's windows end one step before it does, those of later phases two
+            some = ends - begins > 1 + (phase > 0)
+            starts, stops, own = begins[some], (ends - 1 - (phase > 0))[some], owned[some]
+            if places:
+                for i, a, b in zip(own, starts, stops, strict=True):
+                    at = hidden[a:b].argmax(0)
+                    top = hidden[a + at, np.arange(FILTERS)]
+                    better = top > best[i]
+                    best[i][better] = top[better]
+                    windows[i][better] = symbols[((a + at[better]) * STRIDE + phase)[:, None] + np.arange(WIDTH)]
+            elif len(own):
+                # the odd segments are the steps between
+                cuts = np.stack([starts, stops], 1).ravel()
+                tops = np.maximum.reduceat(hidden, cuts[cuts < len(hidden)], axis=0)[::2]
+                np.maximum.at(best, own, tops)
     return best, windows
 
 

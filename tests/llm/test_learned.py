@@ -83,6 +83,19 @@ def test_scores_do_not_depend_on_chunks():
     assert net.scores([b"clean words " * 9])[0] > net.scores([b"*** $$$ ### " * 9])[0]
 
 
+def test_a_marker_counts_wherever_it_begins():
+    np, rng = quality_classifier.np, quality_classifier.np.random.default_rng(4)
+    net = quality_classifier.fit([b"clean words " * 9, b"*** $$$ ### " * 9] * 20, np.array([1, 0] * 20))
+    texts = [b"a" * (40 + n) + b"*** $$$ ###" + b"a" * (48 - n) for n in range(8)]
+    scores = net.scores(texts)
+    assert np.ptp(scores) < 1e-5
+    # alone or in a batch, and in both ways of pooling
+    texts += [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (0, 1, 4, 5, 9, 8190, 8196, 8200, 20_001)]
+    scores = net.scores(texts)
+    assert abs(np.concatenate([net.scores([x]) for x in texts]) - scores).max() < 1e-5
+    assert np.allclose(quality_classifier.pool(net, texts)[0], quality_classifier.pool(net, texts, True)[0], atol=1e-4)
+
+
 def test_stages_keep_what_they_should(spark):
     docs = table(spark, SMALL, "documents")
     stages = dict(corpus_pipeline.STAGES)
