@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from functools import wraps
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset (tests, one
-    machine) a temporary folder, which is then set on the context."""
+    """The folder that all executors share: spark.checkpoint.dir, or where it is unset on one machine
+    (tests) a temporary folder, which is then set on the context. A cluster has to name one."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftline-")
         context.setCheckpointDir(found)
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Spark's setting by which a query's shuffle files go at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -56,11 +66,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing.
 
-    The table goes when Python ends; release() drops it earlier.
+    The table goes when Python ends; release() drops it earlier. The shuffle files of the job go at its
+    end, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/driftline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._driftline_path = path
@@ -73,10 +89,32 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that nothing refers to any more: it does so when the
-    JVM collects the plans, which hold no memory to speak of and so may stay for long."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
+def tidy(run):
+    """run (a function of iterators for mapInPandas or mapInArrow) that hands freed memory back to the
+    system at its end: a worker is kept for later tasks, beside which it should be small."""
+
+    @wraps(run)
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            shrink()
+
+    return out
+
+
+def shrink() -> None:
+    """Hands this process's freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def slices(batches: Iterator[pd.DataFrame], chars: int) -> Iterator[pd.DataFrame]:
+    """The batches in parts of about so many characters of their column text, so that what is made of
+    a part stays small; at least a row each."""
+    for batch in batches:
+        part = batch["text"].str.len().cumsum() // chars
+        yield from (rows for _, rows in batch.groupby(part.to_numpy(), sort=False))

@@ -2,19 +2,16 @@
 
 A text is normalised by longest-prefix matches in the model's compiled character map (a
 double-array trie followed by its replacement strings); for every normalised byte the place of its
-source byte is recorded. The normalised text is segmented by the model, and each piece's range of
-normalised bytes is projected through that record onto the original bytes. Where the model has no
-character map and keeps its spaces, the record is the identity apart from the first, added space,
-and is not stored.
-
-No piece of the supported models has a space after another character, so a normalised text falls
-into chunks (spaces, then the characters up to the next space) that are segmented on their own;
-a model for which this does not hold is segmented whole. Each worker remembers the chunks it met in
-two generations of bounded size, so a repeated chunk costs one lookup.
+source byte is recorded. The normalised text is segmented by the model, whole, a part of an Arrow
+batch at a time, and each piece's range of normalised bytes is projected through that record onto the
+original bytes. Where the model has no character map and keeps its spaces, a space of one byte becomes
+a mark of three and nothing else changes; the record is then made by numpy from the text's bytes.
 
 Defined results: null counts as empty; an empty text has no pieces and, with an end id, that id
-alone. Rows are independent, so ties and repeated rows give equal rows; other columns are not read.
-One Arrow pass, no shuffle.
+alone. Rows are independent, so ties and repeated rows give equal rows; columns other than the id and
+the text are not read. An empty table gives an empty result. A very long text is segmented whole: a
+task holds the ids and offsets of PART_CHARS characters, or of one text if that is longer. One Arrow
+pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -25,16 +22,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import slices, table, tidy
 
 SPACE = "▁"
-#: Chunks in one of a worker's two generations, and rows whose ids are held at a time.
-_MEMO = 200_000
-PART = 256
+_MARK = len(SPACE.encode())
+#: Characters whose ids are held at a time, unless one text has more.
+PART_CHARS = 1 << 20
 
 
 class CharacterMap:
@@ -120,7 +118,7 @@ def normalise(data: bytes, settings: Settings) -> tuple[bytes, list[int]]:
 
 
 class Codec:
-    """A SentencePiece model with remembered chunks."""
+    """A SentencePiece model."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -133,156 +131,106 @@ class Codec:
         if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("models that do not escape spaces, or put them last, are not supported")
         self.settings = Settings(CharacterMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces)
-        self.byte, self.text, self.hidden = {}, {}, set()
-        for i, piece in enumerate(model.pieces):
-            if piece.type == 6:
-                self.byte[i] = bytes([int(piece.piece[3:5], 16)])
-            elif piece.type == 3:
-                self.hidden.add(i)
-            else:
-                self.text[i] = model.trainer_spec.unk_surface if piece.type == 2 else piece.piece
-        self.unknown = model.trainer_spec.unk_id
-        self.end = model.trainer_spec.eos_id
-        self.by_chunk = not any(SPACE in x.piece.lstrip(SPACE) for x in model.pieces if x.type in (1, 4))
+        self.end, self.unknown = model.trainer_spec.eos_id, model.trainer_spec.unk_id
+        self.names = [str(i) for i in range(len(model.pieces))]
+        # normalised bytes of every piece: a byte piece has one, a control piece none
+        self.widths = np.array([1 if x.type == 6 else 0 if x.type == 3 else len(x.piece.encode()) for x in model.pieces], np.int32)
+        self.whole = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         # segmentation alone: what is fed is normalised already
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.name = b"", False, False, "identity"
         self.segment = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def surface(self, ids) -> bytes:
-        """Bytes that ids stand for, spaces as spaces; control ids stand for none."""
-        return b"".join(self.byte.get(i) or (b"" if i in self.hidden else self.text[i].replace(SPACE, " ").encode()) for i in ids)
-
-    def _widths(self, chunk: str, ids: list[int]) -> tuple[int, ...]:
-        """Normalised bytes of every piece of a chunk."""
-        widths = [0 if i == self.unknown else 1 if i in self.byte else len(self.text[i].encode()) for i in ids]
-        if self.unknown in ids:
-            spans = self.segment.encode(chunk, out_type="immutable_proto").pieces
-            widths = [len(x.surface.encode()) for x in spans]
-        return tuple(widths)
-
-    def chunks(self, keys: list[str]) -> list[tuple]:
-        """(ids, ids as text, decoded text, widths in normalised bytes) of every chunk."""
-        young, old = self.young, self.old
-        found = [young.get(k) for k in keys]
-        if None in found:
-            lost = [i for i, x in enumerate(found) if x is None]
-            new = [k for k in {keys[i] for i in lost} if k not in old]
-            fresh = dict(zip(new, map(self._made, new, self.segment.encode(new, num_threads=1)), strict=True)) if new else {}
-            for i in lost:
-                k = keys[i]
-                found[i] = young[k] = fresh.get(k) or old[k]
-            if len(young) > _MEMO:
-                self.old, self.young = young, {}
-        return found
 
-    def _made(self, chunk: str, ids: list[int]) -> tuple:
-        pieces = [*map(self.text.get, ids)]
-        if None in pieces or self.unknown in ids:
-            said, widths = self.surface(ids).decode("utf-8", "replace"), self._widths(chunk, ids)
-        else:
-            said, widths = "".join(pieces).replace(SPACE, " "), tuple([len(x.encode()) for x in pieces])
-        return tuple(ids), " ".join(map(str, ids)), said, widths
-
-    def split(self, text: str) -> tuple[list[tuple], list[int] | None]:
-        """Chunks of a text, and the record of source places (None: the identity)."""
-        source = None
+    def normal(self, text: str) -> tuple[str, list[int] | None]:
+        """The normalised text, and the record of source places (None: to be made by `record`)."""
         if self.settings.identity:
-            full = (SPACE if self.settings.add_dummy_prefix and text else "") + text.replace(" ", SPACE)
-        else:
-            normal, source = normalise(text.encode(), self.settings)
-            full = normal.decode("utf-8", "replace")
-        if not full:
-            return [], source
-        if not self.by_chunk:
-            return self.chunks([full]), source
-        parts = full.split(SPACE)
-        if parts[0] == "" and "" not in parts[1:]:
-            return self.chunks([SPACE + x for x in parts[1:]]), source
-        keys, spaces = [], 0
-        for k, part in enumerate(parts):
-            spaces += k > 0
-            if part:
-                keys.append(SPACE * spaces + part)
-                spaces = 0
-        return self.chunks(keys + [SPACE * spaces] * (spaces > 0)), source
+            return (SPACE if self.settings.add_dummy_prefix and text else "") + text.replace(" ", SPACE), None
+        data, source = normalise(text.encode(), self.settings)
+        return data.decode("utf-8", "replace"), source
+
+    def record(self, text: str) -> np.ndarray:
+        """The source place of every normalised byte and of the end, where only spaces change."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        place = np.repeat(np.arange(len(data), dtype=np.int32), np.where(data == 32, _MARK, 1))
+        return np.concatenate([np.zeros(_MARK if self.settings.add_dummy_prefix and text else 0, np.int32), place, np.array([len(data)], np.int32)])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str, list[int] | None]]:
+        """(ids without an end id, normalised text, record) of every text."""
+        normal = [self.normal(x) for x in texts]
+        found = self.segment.encode([x for x, _ in normal], return_type="numpy", num_threads=1)
+        return [(ids, full, source) for ids, (full, source) in zip(found, normal, strict=True)]
+
+    def project(self, text: str, ids: np.ndarray, full: str, source: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of every piece in bytes of the original text."""
+        widths = self.widths[ids]
+        if self.unknown in ids:  # an unknown piece is as wide as what it stands for
+            widths = np.array([len(x.surface.encode()) for x in self.segment.encode(full, return_type="proto").pieces], np.int32)
+        ends = np.cumsum(widths, dtype=np.int64)
+        place = self.record(text) if source is None else np.array(source, np.int32)
+        return place[ends - widths], place[ends]
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(id, begin, end) of every piece, in bytes of the original text."""
-        chunks, source = self.split(text)
-        # without a record, normalised places run ahead by the width of each mark that stands for a space
-        if source is None:
-            data, source = text.encode(), []
-            if self.settings.add_dummy_prefix and data:
-                source += [0] * len(SPACE.encode())
-            for at, byte in enumerate(data):
-                source += [at] * (len(SPACE.encode()) if byte == 32 else 1)
-            source.append(len(data))
-        out, at = [], 0
-        for ids, _, _, widths in chunks:
-            for i, w in zip(ids, widths, strict=True):
-                out.append((i, source[at], source[at + w]))
-                at += w
-        return out
-
-    def decode(self, ids) -> str:
-        """The text that ids stand for, without the added first space."""
-        text = self.surface(ids).decode("utf-8", "replace")
-        return text[1:] if self.settings.add_dummy_prefix and text[:1] == " " else text
+        ids, full, source = self.encode([text])[0]
+        begins, ends = self.project(text, ids, full, source)
+        return [*zip(ids.tolist(), begins.tolist(), ends.tolist(), strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The texts that ids stand for."""
+        return self.whole.decode(ids, num_threads=1)
 
 
 @lru_cache(maxsize=2)
 def codec_of(path: str) -> Codec:
-    """A worker's codec of a model file: a later task in the same worker finds the chunks of earlier ones."""
+    """A worker's codec of a model file."""
     return Codec(path)
 
 
+#: Columns of encode() and their types.
+COLUMNS = {"ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "long", "n_bytes_spanned": "long", "ids_sha256": "string", "decoded_sha256": "string", "spans_sha256": "string"}
+
+
 def encode(docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends", "decoded"), end_id: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id and any of ids, begins, ends (source bytes of every id; the end
-    id spans nothing at the end), decoded, n_tokens, n_bytes_spanned, ids_sha256, decoded_sha256."""
-    kinds = {"ids": "array<int>", "begins": "array<int>", "ends": "array<int>", "decoded": "string", "n_tokens": "long", "n_bytes_spanned": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    spans_asked = bool({"begins", "ends"} & {*columns})
+    """One row per document: doc_id and any of COLUMNS. begins and ends are the source bytes of every id;
+    the end id spans nothing at the end. n_bytes_spanned adds up the spans; spans_sha256 is the digest of
+    all pairs (begin, end) as little-endian 32-bit integers."""
+    decoding = bool({"decoded", "decoded_sha256"} & {*columns})
 
+    @tidy
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = codec_of(model_path)
-        tail = [codec.end] * end_id
-        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-
-        def row(text: str) -> dict:
-            chunks, source = codec.split(text)
-            out = {}
-            said = "".join([x[2] for x in chunks])
-            said = said[1:] if codec.settings.add_dummy_prefix and said[:1] == " " else said
-            if "ids" in columns:
-                out["ids"] = [i for x in chunks for i in x[0]] + tail
-            if spans_asked:
-                spans, size = codec.spans(text), len(text.encode())
-                out["begins"], out["ends"] = [x[1] for x in spans] + [size] * end_id, [x[2] for x in spans] + [size] * end_id
-            if "n_bytes_spanned" in columns:
-                # pieces tile the normalised text: the first begins and the last ends where its source does
-                width = sum([sum(x[3]) for x in chunks])
-                if source is None:
-                    mark = len(SPACE.encode())
-                    out["n_bytes_spanned"] = width - (mark if codec.settings.add_dummy_prefix and text else 0) - (mark - 1) * text.count(" ")
-                else:
-                    out["n_bytes_spanned"] = source[width] - source[0]
-            out["decoded"], out["n_tokens"] = said, sum([len(x[0]) for x in chunks]) + end_id
-            if "ids_sha256" in columns:
-                out["ids_sha256"] = digest(" ".join([*(x[1] for x in chunks), *map(str, tail)]))
-            if "decoded_sha256" in columns:
-                out["decoded_sha256"] = digest(said)
-            return out
-
-        for batch in (whole.iloc[at : at + PART] for whole in batches for at in range(0, len(whole), PART)):
-            rows = [row(x) for x in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **{c: [r[c] for r in rows] for c in columns}})
+        tail = np.array([codec.end] * end_id, np.int32)
+        for part in slices(batches, PART_CHARS):
+            texts, out = part["text"].tolist(), {c: [] for c in columns}
+            found = codec.encode(texts)
+            said = codec.decode([np.concatenate([ids, tail]).tolist() for ids, _, _ in found]) if decoding else [None] * len(texts)
+            for text, (ids, full, source), decoded in zip(texts, found, said, strict=True):
+                size = np.array([len(text.encode())] * end_id, np.int32)
+                begins, ends = (np.concatenate([x, size]).astype(np.int32) for x in codec.project(text, ids, full, source))
+                ids = np.concatenate([ids, tail])
+                made = {
+                    "ids": lambda: ids,  # noqa: B023
+                    "begins": lambda: begins,  # noqa: B023
+                    "ends": lambda: ends,  # noqa: B023
+                    "decoded": lambda: decoded,  # noqa: B023
+                    "n_tokens": lambda: len(ids),  # noqa: B023
+                    "n_bytes_spanned": lambda: int((ends - begins).sum(dtype=np.int64)),  # noqa: B023
+                    "ids_sha256": lambda: _digest(" ".join([codec.names[i] for i in ids.tolist()]).encode()),  # noqa: B023
+                    "decoded_sha256": lambda: _digest(decoded.encode()),  # noqa: B023
+                    "spans_sha256": lambda: _digest(np.stack([begins, ends], 1).astype("<i4").tobytes()),  # noqa: B023
+                }
+                for c in columns:
+                    out[c].append(made[c]())
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **out})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", *(f"{c} {kinds[c]}" for c in columns)])
+    schema = ", ".join([f"doc_id {kind}", *(f"{c} {COLUMNS[c]}" for c in columns)])
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(encoded, schema)
 
 
+def _digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def model_file() -> str:
     import public_tokenizers
 
@@ -290,4 +238,4 @@ def model_file() -> str:
 
 
 def op3_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), model_file(), ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_spanned"))
+    return encode(table(spark, sf_dir, "documents"), model_file(), ("n_tokens", "ids_sha256", "decoded_sha256", "n_bytes_spanned", "spans_sha256"))

@@ -1,7 +1,9 @@
 """Operators with one right result, against plain forms, over nulls, empty, long, tied and repeated texts."""
 
+import hashlib
 import random
 
+import numpy as np
 import plain
 import pytest
 import sentencepiece
@@ -167,6 +169,8 @@ def test_encoding_is_the_library_s(spark, table_of):
         r = found[i]
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), plain.sha(" ".join(map(str, ids))), plain.sha(own.decode(ids)))
         assert r["n_bytes_spanned"] == len((text or "").encode())
+        spans = [x[1:] for x in sentencepieces.codec_of(sentencepieces.model_file()).spans(text or "")]
+        assert r["spans_sha256"] == hashlib.sha256(np.array([*spans, (len((text or "").encode()),) * 2], "<i4").tobytes()).hexdigest()
     docs = spark.createDataFrame([(1, "Été  à\nla 日本")], "doc_id long, text string")
     r = sentencepieces.encode(docs, sentencepieces.model_file()).first()
     assert r["decoded"] == "Été  à\nla 日本"
@@ -174,6 +178,33 @@ def test_encoding_is_the_library_s(spark, table_of):
     assert b"".join(data[a:b] for a, b in zip(r["begins"], r["ends"], strict=True)) == data
 
 
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+def test_pieces_are_projected_as_the_library_does(spark, table_of, tmp_path, rule):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, path = proto.ModelProto(), str(tmp_path / "m.model")
+    with open(sentencepieces.model_file(), "rb") as f:
+        model.ParseFromString(f.read())
+    if rule != "identity":
+        rules = proto.ModelProto()
+        rules.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True).serialized_model_proto())
+        model.normalizer_spec.CopyFrom(rules.normalizer_spec)
+        model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.remove_extra_whitespaces = model.normalizer_spec.escape_whitespaces = True
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    own, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.Codec(path)
+    for text in ["", " ", "plain words here", "  two  spaces ", "ﬁne ①② Ａ ｶﾞ x", "  a　b ", "Été là 日本🙂 ▁x", "tab\tnew\n\nline", *(t for _, t in corpus(6) if t)]:
+        want = own.encode(text, return_type="offset_mapping", return_bytes=True)
+        got = codec.spans(text)
+        assert [x[0] for x in got] == want["ids"]
+        # a character of several byte pieces is the library's last one's, here every byte has its own
+        assert [x[1:] for x, p in zip(got, want["pieces"], strict=True) if not p.startswith(b"<0x")] == [x for x, p in zip(want["offsets"], want["pieces"], strict=True) if not p.startswith(b"<0x")]
+    rows = [(1, "ﬁne  ①② two"), (2, None), (2, ""), (3, "ﬁne  ①② two"), (None, "x")]
+    found = sentencepieces.encode(spark.read.parquet(table_of(rows) + "/documents.parquet"), path, ("ids", "decoded")).collect()
+    assert sorted((r["doc_id"] or 0, r["ids"], r["decoded"]) for r in found) == sorted((i or 0, own.encode(t or "", add_eos=True), own.decode(own.encode(t or "", add_eos=True))) for i, t in rows)
+    assert sentencepieces.op3_sentencepieces(spark, table_of([])).count() == 0
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_character_maps_match_the_library(rule):
     from sentencepiece import sentencepiece_model_pb2 as proto
