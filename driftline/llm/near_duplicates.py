@@ -8,21 +8,28 @@ similarity. Registers are banded; documents that share a band are candidates. A
 similarity is estimated by likelihood from its registers jointly (how many are larger, smaller and
 equal, and both set sizes); pairs not far below the threshold are verified on their whole sets.
 
-Sets that are equal form a class at once, and one member stands for it. In a band's bucket every
-member is compared with the member of smallest id; only where the links found so far leave a bucket
-with members of several components are the pairs across components compared too, by their registers,
-in blocks, so a bucket of near copies costs one verification a member and no link between components is
-left untested. At 0.75, a pair shares none of the bands with a chance of about 5e-6, and fails the
-estimates with one of about 1e-4; there is no cap on buckets or pairs.
+Sets that are equal form a class at once, and one member stands for it. Links are found in rounds of
+stars: in each bucket one member is the centre, another one each round, and the members that are not
+yet in its component are compared with it, so a round costs a pair a member at most. Members that no
+centre has joined are then compared with all members of other components in their buckets, by their
+registers, in blocks; only pairs that pass are rows. So no link between components is left untested, and
+a bucket of near copies costs a few verifications a member. At 0.75, a pair shares none of the bands
+with a chance of about 5e-6, and fails the estimates with one of about 1e-4; there is no cap on
+buckets or pairs.
+
+Texts stay in a written table; what is compared travels as the members of one centre, in groups of at
+most GROUP beside one copy of the centre's sketch or text.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing, each its own
 component. A null id counts as larger than all others. Rows with one id are separate rows. Empty
-tables give empty results; columns other than the id and the text are not read.
+tables give empty results; columns other than the id and the text are not read. A very long text is
+one set of 8 bytes a shingle in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import release, table, written
+from driftline.llm.common import release, slices, table, tidy, written
 from driftline.llm.components import components
 from driftline.llm.substrings import NO_ID, WordHashes, windows
 
@@ -43,6 +50,12 @@ CANDIDATE = 0.6
 #: a bucket that are compared in one group.
 AGREE = 0.6
 BLOCK = 4096
+#: Members that travel with one copy of their centre, and characters of text that a task holds at a time.
+GROUP, PART_CHARS = 256, 1 << 21
+#: Rounds of stars at most, and the pairs a member left over above which a further one pays.
+TURNS, PAYS = 4, 8
+#: In place of a member, a centre; row numbers are not negative.
+NOBODY = -1
 
 _RULE = np.random.Generator(np.random.Philox(20260101))
 _XOR = _RULE.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -88,36 +101,97 @@ def likeliest(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     return np.take_along_axis(j, fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """row, doc, text, n_shingles, class (of equal sets; null for empty ones), registers; written."""
+def based(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row (unique), doc, text of every row; written, so that row stays, unless docs brings stable rows."""
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    plain = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return plain if row_col else written(plain)
+
+
+def sketches(base: DataFrame) -> DataFrame:
+    """row, doc, n_shingles, class (of equal sets; null for empty ones), registers; written."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
-            sets = [shingles(x, hashes) for x in batch["text"]]
-            yield batch.assign(
-                n_shingles=[len(s) for s in sets],
-                **{"class": [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]},
-                registers=[registers(s).tobytes() for s in sets],
-            )
+        for part in slices(batches, PART_CHARS):
+            sizes, classes, made = [], [], []
+            for text in part["text"]:
+                items = shingles(text, hashes)
+                sizes.append(len(items))
+                classes.append(xxhash.xxh3_128_hexdigest(items.tobytes()) if len(items) else None)
+                made.append(registers(items).tobytes())
+            yield pd.DataFrame({"row": part["row"].to_numpy(), "doc": part["doc"].to_numpy(), "n_shingles": sizes, "class": classes, "registers": made})
 
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    plain = docs.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return written(plain.mapInPandas(run, "row long, doc long, text string, n_shingles long, class string, registers binary"))
+    return written(base.select("row", "doc", "text").mapInPandas(run, "row long, doc long, n_shingles long, class string, registers binary"))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs a, b whose estimated similarity reaches CANDIDATE."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
+def _starred(pairs: DataFrame, held: DataFrame, judge) -> DataFrame:
+    """The pairs a, b that a judge keeps. held: node and columns of what is compared; judge() gives a
+    function of a frame of them, the places of members in it and those of their centres.
 
+    Pairs are dealt by b, the centre, in groups of about GROUP; a group's first row is the centre's.
+    """
+    what = [c for c in held.columns if c != "node"]
+    large = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    dealt = pairs.join(large, "b", "left").select("a", "b", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP))).cast("long").alias("part"))
+    members = dealt.join(held.withColumnRenamed("node", "a"), "a").select("a", "b", "part", *what)
+    centres = dealt.select("b", "part").distinct().join(held.withColumnRenamed("node", "b"), "b").select(F.lit(NOBODY).cast("long").alias("a"), "b", "part", *what)
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = centres.unionByName(members).repartition(parts, "b", "part").sortWithinPartitions("b", "part", "a")
+
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-                keep = likeliest(left, right, batch["n_a"].to_numpy(float), batch["n_b"].to_numpy(float)) >= CANDIDATE
-                yield batch.loc[keep, ["a", "b"]]
+        keeps, last = judge(), None
+        for batch in slices(batches, PART_CHARS) if "text" in what else batches:
+            frame = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            a = frame["a"].to_numpy(np.int64)
+            heads = np.flatnonzero(a == NOBODY)
+            mine = np.flatnonzero(a != NOBODY)
+            last = frame.iloc[heads[-1:]]
+            if len(mine):
+                mine = mine[keeps(frame, mine, heads[np.searchsorted(heads, mine) - 1])]
+                yield pd.DataFrame({"a": a[mine], "b": frame["b"].to_numpy(np.int64)[mine]})
+
+    return rows.mapInPandas(run, "a long, b long")
+
+
+def _by_registers():
+    """Keeps members whose estimated similarity to their centre reaches CANDIDATE."""
+
+    def keeps(frame: pd.DataFrame, mine: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        made, sizes = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS), frame["n_shingles"].to_numpy(float)
+        return likeliest(made[mine], made[centres], sizes[mine], sizes[centres]) >= CANDIDATE
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+    return keeps
+
+
+def _by_sets(percent: int):
+    """Keeps members for which 100 * intersection >= percent * union, on whole sets."""
+    hashes, known = WordHashes(), {}
+
+    def near(one: np.ndarray, other: np.ndarray) -> bool:
+        both = len(np.intersect1d(one, other, assume_unique=True))
+        return 100 * both >= percent * (len(one) + len(other) - both)
+
+    def keeps(frame: pd.DataFrame, mine: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        texts, nodes, out = frame["text"].tolist(), frame["b"].tolist(), []
+        for x, c in zip(mine.tolist(), centres.tolist(), strict=True):
+            if nodes[c] not in known:
+                known.clear()
+                known[nodes[c]] = shingles(texts[c], hashes)
+            out.append(near(shingles(texts[x], hashes), known[nodes[c]]))
+        return np.array(out, bool)
+
+    return keeps
+
+
+def _links(pairs: DataFrame, held: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that are links: likely by their registers, then verified; written."""
+    likely = written(_starred(pairs, held, _by_registers))
+    out = written(_starred(likely, texts, lambda: _by_sets(percent)))
+    release(likely)
+    return out
 
 
 def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,23 +201,24 @@ def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
     read in sorted order and compared in numpy, by the registers' low bytes (a share of 1/256 of
     unlike ones agrees too). Only pairs that pass are rows, and only in the first band they share.
     """
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     low = nodes.select("node", "n_shingles", "registers")
-    rows = rest.join(sizes, "key").join(low, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    rows = rest.join(sizes, "key", "left").join(low, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = rows.withColumn("with", F.explode(other)).select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label", "n_shingles", "registers")
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     width = 2 * ROWS
 
-    def pairs(group: pd.DataFrame) -> list[np.ndarray]:
+    def pairs(group: pd.DataFrame) -> Iterator[np.ndarray]:
         # labels by size, each in one run, the largest last: its members need not meet each other
         order = np.lexsort((group["label"], group["label"].map(group["label"].value_counts())))
         node, label, block, size = (group[c].to_numpy()[order] for c in ("node", "label", "block", "n_shingles"))
         full = np.frombuffer(b"".join(group["registers"].iloc[order]), np.uint8).reshape(len(order), -1)
         bands, bytes_ = full.reshape(len(order), -1, width), full[:, ::2]
         apart = group["i"].iloc[0] != group["j"].iloc[0]
-        band, out = group["band"].iloc[0], []
+        band = group["band"].iloc[0]
         for x in range(len(order) - 1):
             if label[x] == label[-1]:
                 break
@@ -156,88 +231,95 @@ def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
             if len(at):
                 # shared bands of the survivors: keep those whose first is this bucket's
                 at = at[(bands[at] == bands[x]).all(2).argmax(1) == band]
-                out.append(np.stack([np.full(len(at), node[x]), node[at]], 1))
-        return out
-
+                yield np.stack([node[at], np.full(len(at), node[x])], 1)
+
+    def bounded(found: Iterator[np.ndarray], most: int = 1 << 16) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pair in found:
+            held.append(pair)
+            size += len(pair)
+            if size >= most:
+                yield pd.DataFrame(np.concatenate(held), columns=["a", "b"])
+                held, size = [], 0
+        yield pd.DataFrame(np.concatenate(held) if held else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
-        def made(frame: pd.DataFrame) -> pd.DataFrame:
-            found = [p for _, g in frame.groupby(["key", "i", "j"], sort=False) if len(g) > 1 for p in pairs(g)]
-            return pd.DataFrame(np.concatenate(found) if found else np.empty((0, 2), np.int64), columns=["a", "b"])
+        def made(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            return bounded(p for _, g in frame.groupby(["key", "i", "j"], sort=False) if len(g) > 1 for p in pairs(g))
 
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             last = held.iloc[-1]
             open_ = (held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])
-            yield made(held[~open_])
+            yield from made(held[~open_])
             held = held[open_]
         if held is not None:
-            yield made(held)
+            yield from made(held)
 
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b for which 100 * intersection >= percent * union, on whole sets; written."""
-    pairs = written(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = written(drawn.select("row", "text").join(ends, "row"))
-    side = lambda x: texts.select(F.col("row").alias(x), F.col("text").alias(f"t_{x}"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, memo = WordHashes(), {}
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets with several components, with their labels; written."""
+    rows = members.join(labels, "node", "left").select("band", "key", "node", "doc", F.coalesce("label", "node").alias("label"))
+    several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    return written(rows.join(several, "key", "left_semi"))
 
-        def items(node: int, text: str) -> np.ndarray:
-            if node not in memo:
-                if len(memo) >= 64:
-                    memo.clear()
-                memo[node] = shingles(text, hashes)
-            return memo[node]
 
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch["a"], batch["b"], batch["t_a"], batch["t_b"], strict=True):
-                one, other = items(a, x), items(b, y)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(one) + len(other) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    out = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long"))
-    release(pairs)
-    release(texts)
-    return out
+def _stars(rest: DataFrame, turn: int) -> DataFrame:
+    """A pair (member, centre) for every member of a bucket that is not of its centre's component. The
+    centre is the smallest document, in later turns another one for each."""
+    rank = F.struct("doc", "node", "label") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")
+    centres = rest.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.label").alias("own"))
+    return rest.join(centres, "key").where("label <> own").select(F.col("node").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """row, doc_id, text, n_shingles, component_id, kept (the id is its component's smallest) and
-    stands (the one row of its component that does). row: row_col, unique, or else numbers given here."""
-    drawn = sketches(docs, id_col, text_col, row_col)
+    """row, doc_id, n_shingles, component_id, kept (the id is its component's smallest) and stands (the
+    one row of its component that does). row: row_col, unique and stable, or else numbers given here."""
+    base = based(docs, id_col, text_col, row_col)
+    drawn = sketches(base)
     classes = written(drawn.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc", "row")).alias("m")).select("class", F.col("m.row").alias("node"), F.col("m.doc").alias("doc")))
-    nodes = written(drawn.select(F.col("row").alias("node"), "n_shingles", "registers").join(classes.select("node", "doc"), "node"))
+    nodes = drawn.select(F.col("row").alias("node"), "n_shingles", "registers").join(classes.select("node", "doc"), "node")
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(REGISTERS // ROWS)))
     bands = nodes.select("node", "doc", F.posexplode(keys).alias("band", "key"))
-    shared = bands.groupBy("key").agg(F.min(F.struct("doc", "node")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(bands.join(shared, "key").select("band", "key", "node", "doc", F.col("first.node").alias("centre")))
-
-    stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = _verified(_likely(stars, nodes), drawn, percent)
-    labels = components(links)
-    joined = members.select("band", "key", "node").join(labels, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = joined.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = written(joined.join(mixed, "key"))
-    more = _verified(_likely(_across(rest, nodes), nodes), drawn, percent)
-    release(rest)
-    release(members)
-    labels = components(links.unionByName(more))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = written(bands.join(shared, "key", "left_semi").select("band", "key", "node", "doc"))
+    met = members.select("node").distinct()
+    held = written(nodes.select("node", "n_shingles", "registers").join(met, "node", "left_semi"))
+    texts = written(base.select(F.col("row").alias("node"), "text").join(met, "node", "left_semi"))
+    if not row_col:
+        release(base)
+
+    links, rest, labels = [], members.withColumn("label", F.col("node")), None
+    for turn in range(TURNS):
+        links.append(_links(_stars(rest, turn), held, texts, percent))
+        for old in [labels] * (labels is not None) + [rest] * (turn > 0):
+            release(old)
+        labels = components(reduce(DataFrame.unionByName, links))
+        rest = _labelled(members, labels)
+        # the pairs that are left to be compared: where they are many a member, another turn leaves fewer
+        sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        n, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not n or pairs <= PAYS * n:
+            break
+    if n:
+        links.append(_links(_across(rest, held), held, texts, percent))
+        release(labels)
+        labels = components(reduce(DataFrame.unionByName, links))
+    for done in (*links, rest, members, held, texts):
+        release(done)
 
     owned = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = owned.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("least"))
     owned = owned.join(smallest, "label").select("class", F.col("least.doc").alias("least_doc"), F.col("least.node").alias("least_row"))
-    out = drawn.select("row", "doc", "text", "n_shingles", "class").join(owned, "class", "left")
+    out = drawn.select("row", "doc", "n_shingles", "class").join(owned, "class", "left")
     least = F.coalesce("least_doc", "doc")
     back = lambda c: F.when(c < NO_ID, c).cast(docs.schema[id_col].dataType)
-    return out.select("row", back(F.col("doc")).alias("doc_id"), "text", "n_shingles", back(least).alias("component_id"), (F.col("doc") == least).alias("kept"), (F.coalesce("least_row", "row") == F.col("row")).alias("stands"))
+    return out.select("row", back(F.col("doc")).alias("doc_id"), "n_shingles", back(least).alias("component_id"), (F.col("doc") == least).alias("kept"), (F.coalesce("least_row", "row") == F.col("row")).alias("stands"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

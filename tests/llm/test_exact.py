@@ -49,7 +49,8 @@ def test_rows_of_one_id_and_null_ids(spark, table_of):
     text = " ".join(f"t{i}" for i in range(30))
     d = table_of([(3, text), (3, text), (3, "another text of its own"), (None, text), (5, text + " end")])
     rows = near_duplicates.near_duplicates(spark.read.parquet(d + "/documents.parquet")).collect()
-    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["stands"]) for r in rows if r["text"].startswith("t0"))[1:] == sorted([(3, 3, True), (3, 3, False), (-1, 3, False), (5, 3, False)])[1:]
+    # 25 and 26 shingles each, but for the text of its own
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["stands"]) for r in rows if r["n_shingles"] > 20) == sorted([(3, 3, True), (3, 3, False), (-1, 3, False), (5, 3, False)])
     cut = substrings.op10_substrings(spark, d).collect()
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in cut) == [(-1, 30), (3, 0), (3, 0), (3, 0), (5, 30)]
 
@@ -78,6 +79,42 @@ def test_a_large_group_of_near_copies_is_one_component(spark, table_of):
     assert found == {i: c for i, (_, c) in plain.components(rows).items()}
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+@pytest.mark.parametrize("turns", [0, 4], ids=["blocks", "stars"])
+def test_nested_groups_of_near_copies(spark, table_of, monkeypatch, seed, turns):
+    # groups of variants of one text, with copies and edits of every variant
+    monkeypatch.setattr(near_duplicates, "PAYS", 0 if turns else 10**9)
+    monkeypatch.setattr(near_duplicates, "GROUP", 3)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 5)
+    rng, rows = random.Random(seed), []
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = f"e{rng.randrange(10**6)}"
+        return w
+
+    for _ in range(25):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for variant in [edited(base, rng.randrange(3, 7)) for _ in range(3)]:
+            rows += [(rng.randrange(10**12), " ".join(edited(variant, rng.randrange(3)))) for _ in range(rng.randrange(2, 6))]
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.op5_near_duplicates(spark, table_of(rows)).collect()}
+    assert found == {i: c for i, (_, c) in plain.components(rows).items()}
+
+
+def test_pairs_at_the_threshold_are_recalled(spark, table_of):
+    rng, rows = random.Random(12), []
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        # the last words differ: between 0.75 and 0.8 of all shingles stay
+        n = rng.randrange(45, 57)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-n] + [f"x{rng.randrange(10**6)}" for _ in range(n)]))]
+    near = [i for i, (_, c) in plain.components(rows).items() if c != i]
+    got = [r["doc_id"] for r in near_duplicates.op5_near_duplicates(spark, table_of(rows)).collect() if not r["kept"]]
+    assert len(near) > 200
+    assert set(got) == set(near)
+
+
 def test_components_of_one_size_meet_in_a_bucket(spark):
     np = near_duplicates.np
     # a bucket for each pair across two interleaved components of two members: that pair alone agrees
