@@ -12,13 +12,14 @@ Sets that are equal form a class at once, and one member stands for it. Links ar
 stars: in each bucket one member is the centre, another one each round, and the members that are not
 yet in its component are compared with it, so a round costs a pair a member at most. Members that no
 centre has joined are then compared with all members of other components in their buckets, by their
-registers, in blocks; only pairs that pass are rows. So no link between components is left untested, and
-a bucket of near copies costs a few verifications a member. At 0.75, a pair shares none of the bands
+registers, in blocks, and pairs that pass are verified in the same blocks, unless links found there
+already join them; only links are rows. So no link between components is left untested, and a bucket
+of near copies costs a few verifications a member. At 0.75, a pair shares none of the bands
 with a chance of about 5e-6, and fails the estimates with one of about 1e-4; there is no cap on
 buckets or pairs.
 
-Texts stay in a written table; what is compared travels as the members of one centre, in groups of at
-most GROUP beside one copy of the centre's sketch or text.
+Texts stay in a written table, of which those with a shared band are read once more as sets of hashes.
+What is compared with a centre travels in groups of at most GROUP members beside one copy of the centre.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing, each its own
 component. A null id counts as larger than all others. Rows with one id are separate rows. Empty
@@ -49,13 +50,14 @@ CANDIDATE = 0.6
 #: Least share of registers in which a pair of a bucket agrees (standard error 0.04), and the members of
 #: a bucket that are compared in one group.
 AGREE = 0.6
-BLOCK = 4096
+BLOCK, BLOCK_ITEMS = 4096, 1 << 20
 #: Members that travel with one copy of their centre, and characters of text that a task holds at a time.
 GROUP, PART_CHARS = 256, 1 << 21
 #: Rounds of stars at most, and the pairs a member left over above which a further one pays.
-TURNS, PAYS = 4, 8
+TURNS, PAYS = 4, 1000
 #: In place of a member, a centre; row numbers are not negative.
 NOBODY = -1
+_PAIR = ["key", "i", "j"]
 
 _RULE = np.random.Generator(np.random.Philox(20260101))
 _XOR = _RULE.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -126,9 +128,9 @@ def sketches(base: DataFrame) -> DataFrame:
     return written(base.select("row", "doc", "text").mapInPandas(run, "row long, doc long, n_shingles long, class string, registers binary"))
 
 
-def _starred(pairs: DataFrame, held: DataFrame, judge) -> DataFrame:
-    """The pairs a, b that a judge keeps. held: node and columns of what is compared; judge() gives a
-    function of a frame of them, the places of members in it and those of their centres.
+def _starred(pairs: DataFrame, held: DataFrame, keeps) -> DataFrame:
+    """The pairs a, b that `keeps` keeps: a function of a frame of held's columns, the places of members
+    in it and those of their centres. held: node and columns of what is compared.
 
     Pairs are dealt by b, the centre, in groups of about GROUP; a group's first row is the centre's.
     """
@@ -142,8 +144,8 @@ def _starred(pairs: DataFrame, held: DataFrame, judge) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keeps, last = judge(), None
-        for batch in slices(batches, PART_CHARS) if "text" in what else batches:
+        last = None
+        for batch in batches:
             frame = batch if last is None else pd.concat([last, batch], ignore_index=True)
             a = frame["a"].to_numpy(np.int64)
             heads = np.flatnonzero(a == NOBODY)
@@ -156,70 +158,85 @@ def _starred(pairs: DataFrame, held: DataFrame, judge) -> DataFrame:
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _by_registers():
+def _by_registers(frame: pd.DataFrame, mine: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Keeps members whose estimated similarity to their centre reaches CANDIDATE."""
+    made, sizes = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS), frame["n_shingles"].to_numpy(float)
+    return likeliest(made[mine], made[centres], sizes[mine], sizes[centres]) >= CANDIDATE
 
-    def keeps(frame: pd.DataFrame, mine: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        made, sizes = np.frombuffer(b"".join(frame["registers"]), np.uint16).reshape(-1, REGISTERS), frame["n_shingles"].to_numpy(float)
-        return likeliest(made[mine], made[centres], sizes[mine], sizes[centres]) >= CANDIDATE
 
-    return keeps
+def _near(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    both = np.count_nonzero(one.take(np.searchsorted(one, other), mode="clip") == other)
+    return 100 * both >= percent * (len(one) + len(other) - both)
 
 
 def _by_sets(percent: int):
-    """Keeps members for which 100 * intersection >= percent * union, on whole sets."""
-    hashes, known = WordHashes(), {}
-
-    def near(one: np.ndarray, other: np.ndarray) -> bool:
-        both = len(np.intersect1d(one, other, assume_unique=True))
-        return 100 * both >= percent * (len(one) + len(other) - both)
+    """Keeps members that are links of their centre."""
 
     def keeps(frame: pd.DataFrame, mine: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        texts, nodes, out = frame["text"].tolist(), frame["b"].tolist(), []
-        for x, c in zip(mine.tolist(), centres.tolist(), strict=True):
-            if nodes[c] not in known:
-                known.clear()
-                known[nodes[c]] = shingles(texts[c], hashes)
-            out.append(near(shingles(texts[x], hashes), known[nodes[c]]))
-        return np.array(out, bool)
+        items = [np.frombuffer(x, np.uint64) for x in frame["items"]]
+        return np.array([_near(items[c], items[x], percent) for x, c in zip(mine.tolist(), centres.tolist(), strict=True)], bool)
 
     return keeps
 
 
-def _links(pairs: DataFrame, held: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _items(base: DataFrame, met: DataFrame) -> DataFrame:
+    """node, items: the whole sets of the nodes in met; written."""
+
+    @tidy
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for part in slices(batches, PART_CHARS):
+            yield pd.DataFrame({"node": part["node"].to_numpy(), "items": [shingles(x, hashes).tobytes() for x in part["text"]]})
+
+    return written(base.select(F.col("row").alias("node"), "text").join(met, "node", "left_semi").mapInPandas(run, "node long, items binary"))
+
+
+def _links(pairs: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that are links: likely by their registers, then verified; written."""
     likely = written(_starred(pairs, held, _by_registers))
-    out = written(_starred(likely, texts, lambda: _by_sets(percent)))
+    out = written(_starred(likely, sets, _by_sets(percent)))
     release(likely)
     return out
 
 
-def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs a, b of different labels that share a bucket and agree in enough registers, each once.
+def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of sorted batches, each whole."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        open_ = (held[by] == held[by].iloc[-1]).all(axis=1)
+        yield from (g for _, g in held[~open_].groupby(by, sort=False))
+        held = held[open_]
+    if held is not None and len(held):
+        yield held
+
 
-    Buckets larger than BLOCK are cut into blocks, every two of which meet in one group; groups are
-    read in sorted order and compared in numpy, by the registers' low bytes (a share of 1/256 of
-    unlike ones agrees too). Only pairs that pass are rows, and only in the first band they share.
+def _likely(rest: DataFrame, held: DataFrame) -> DataFrame:
+    """Candidates of different labels in the buckets of rest: key, i, j (two blocks of a bucket), node,
+    label, partners (nodes as packed longs, the most similar first; empty for a node that only is one).
+
+    Buckets beyond BLOCK members or BLOCK_ITEMS shingles are cut into blocks, every two of which meet in one
+    group; groups are read in sorted order and compared in numpy, by the registers' low bytes (a share
+    of 1/256 of unlike ones agrees too), then by likelihood. A pair counts in the first band it shares.
     """
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    low = nodes.select("node", "n_shingles", "registers")
-    blocks = F.coalesce("blocks", F.lit(1))
-    rows = rest.join(sizes, "key", "left").join(low, "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rest.join(held, "node")
+    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_ITEMS)).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     rows = rows.withColumn("with", F.explode(other)).select("band", "key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label", "n_shingles", "registers")
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.repartition(parts, *_PAIR).sortWithinPartitions(*_PAIR)
     width = 2 * ROWS
 
-    def pairs(group: pd.DataFrame) -> Iterator[np.ndarray]:
-        # labels by size, each in one run, the largest last: its members need not meet each other
-        order = np.lexsort((group["label"], group["label"].map(group["label"].value_counts())))
-        node, label, block, size = (group[c].to_numpy()[order] for c in ("node", "label", "block", "n_shingles"))
-        full = np.frombuffer(b"".join(group["registers"].iloc[order]), np.uint8).reshape(len(order), -1)
-        bands, bytes_ = full.reshape(len(order), -1, width), full[:, ::2]
-        apart = group["i"].iloc[0] != group["j"].iloc[0]
-        band = group["band"].iloc[0]
-        for x in range(len(order) - 1):
+    def pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Place of a node and places of its partners."""
+        node, label, block, size = (group[c].to_numpy() for c in ("node", "label", "block", "n_shingles"))
+        raw = b"".join(group["registers"])
+        full, words = np.frombuffer(raw, np.uint8).reshape(len(group), -1), np.frombuffer(raw, np.uint16).reshape(len(group), -1)
+        bands, bytes_, number = full.reshape(len(group), -1, width), np.ascontiguousarray(full[:, ::2]), size.astype(float)
+        apart, band = group["i"].iloc[0] != group["j"].iloc[0], group["band"].iloc[0]
+        for x in range(len(group) - 1):
             if label[x] == label[-1]:
                 break
             later = slice(x + 1, None)
@@ -228,38 +245,70 @@ def _across(rest: DataFrame, nodes: DataFrame) -> DataFrame:
                 near &= block[later] != block[x]
             at = np.flatnonzero(near) + x + 1
             at = at[(bytes_[at] == bytes_[x]).sum(1) >= AGREE * REGISTERS]
+            # shared bands of the survivors: keep those whose first is this bucket's
+            at = at[(bands[at] == bands[x]).all(2).argmax(1) == band] if len(at) else at
+            if len(at):
+                like = likeliest(words[at], np.broadcast_to(words[x], (len(at), REGISTERS)), number[at], np.full(len(at), number[x]))
+                order = np.argsort(-like, kind="stable")
+                at = at[order][like[order] >= CANDIDATE]
             if len(at):
-                # shared bands of the survivors: keep those whose first is this bucket's
-                at = at[(bands[at] == bands[x]).all(2).argmax(1) == band]
-                yield np.stack([node[at], np.full(len(at), node[x])], 1)
-
-    def bounded(found: Iterator[np.ndarray], most: int = 1 << 16) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pair in found:
-            held.append(pair)
-            size += len(pair)
-            if size >= most:
-                yield pd.DataFrame(np.concatenate(held), columns=["a", "b"])
-                held, size = [], 0
-        yield pd.DataFrame(np.concatenate(held) if held else np.empty((0, 2), np.int64), columns=["a", "b"])
+                yield x, at
 
     @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-
-        def made(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            return bounded(p for _, g in frame.groupby(["key", "i", "j"], sort=False) if len(g) > 1 for p in pairs(g))
-
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = held.iloc[-1]
-            open_ = (held["key"] == last["key"]) & (held["i"] == last["i"]) & (held["j"] == last["j"])
-            yield from made(held[~open_])
-            held = held[open_]
-        if held is not None:
-            yield from made(held)
+        made = []
+        for group in _grouped(batches, _PAIR):
+            # labels by size, each in one run, the largest last: its members need not meet each other
+            order = np.lexsort((group["label"], group["label"].map(group["label"].value_counts())))
+            group = group.iloc[order]
+            found = dict(pairs(group)) if group["label"].iloc[0] != group["label"].iloc[-1] else {}
+            if found:
+                at, nodes = np.unique(np.concatenate([[*found], *found.values()]).astype(np.int64)), group["node"].to_numpy()
+                made.append(group.iloc[at][[*_PAIR, "node", "label"]].assign(partners=[nodes[found.get(x, [])].astype(np.int64).tobytes() for x in at.tolist()]))
+            if sum(map(len, made)) >= 1000:
+                yield pd.concat(made)
+                made = []
+        if made:
+            yield pd.concat(made)
+
+    return rows.mapInPandas(run, "key long, i int, j int, node long, label long, partners binary")
+
+
+def _across(rest: DataFrame, held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between the labels of rest, enough of them to join all labels that links join; written.
+
+    A group's candidates are verified on whole sets, unless the links found before in that group join
+    the two labels already.
+    """
+    likely = written(_likely(rest, held))
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = likely.join(sets, "node").repartition(parts, *_PAIR).sortWithinPartitions(*_PAIR)
 
-    return rows.mapInPandas(run, "a long, b long")
+    @tidy
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _grouped(batches, _PAIR):
+            nodes, up = group["node"].tolist(), {x: x for x in group["label"].tolist()}
+            place = {n: k for k, n in enumerate(nodes)}
+            label, items, found = group["label"].tolist(), [np.frombuffer(x, np.uint64) for x in group["items"]], []
+
+            def top(x: int) -> int:
+                while up[x] != x:  # noqa: B023
+                    up[x] = x = up[up[x]]  # noqa: B023
+                return x
+
+            for x, partners in enumerate(group["partners"]):
+                for node in np.frombuffer(partners, np.int64).tolist():
+                    y = place[node]
+                    one, other = top(label[x]), top(label[y])
+                    if one != other and _near(items[x], items[y], percent):
+                        up[one] = other
+                        found.append((nodes[x], node))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    out = written(rows.mapInPandas(run, "a long, b long"))
+    release(likely)
+    return out
 
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -290,13 +339,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     members = written(bands.join(shared, "key", "left_semi").select("band", "key", "node", "doc"))
     met = members.select("node").distinct()
     held = written(nodes.select("node", "n_shingles", "registers").join(met, "node", "left_semi"))
-    texts = written(base.select(F.col("row").alias("node"), "text").join(met, "node", "left_semi"))
+    sets = _items(base, met)
     if not row_col:
         release(base)
 
     links, rest, labels = [], members.withColumn("label", F.col("node")), None
     for turn in range(TURNS):
-        links.append(_links(_stars(rest, turn), held, texts, percent))
+        links.append(_links(_stars(rest, turn), held, sets, percent))
         for old in [labels] * (labels is not None) + [rest] * (turn > 0):
             release(old)
         labels = components(reduce(DataFrame.unionByName, links))
@@ -307,10 +356,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         if not n or pairs <= PAYS * n:
             break
     if n:
-        links.append(_links(_across(rest, held), held, texts, percent))
+        links.append(_across(rest, held, sets, percent))
         release(labels)
         labels = components(reduce(DataFrame.unionByName, links))
-    for done in (*links, rest, members, held, texts):
+    for done in (*links, rest, members, held, sets):
         release(done)
 
     owned = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -116,20 +116,21 @@ def test_pairs_at_the_threshold_are_recalled(spark, table_of):
 
 
 def test_components_of_one_size_meet_in_a_bucket(spark):
-    np = near_duplicates.np
     # a bucket for each pair across two interleaved components of two members: that pair alone agrees
-    rest, nodes, want = [], [], set()
+    rest, held, sets, want = [], [], [], set()
     for k, link in enumerate([(0, 1), (0, 3), (1, 2), (2, 3)]):
-        made = [near_duplicates.registers(np.random.default_rng(10 * k + i).integers(0, 1 << 63, 500).astype(np.uint64)) for i in range(4)]
-        made[link[1]] = made[link[0]].copy()
-        for i, r in enumerate(made):
+        items = [np.unique(np.random.default_rng(10 * k + i).integers(0, 1 << 63, 500).astype(np.uint64)) for i in range(4)]
+        items[link[1]] = items[link[0]]
+        for i, one in enumerate(items):
+            r = near_duplicates.registers(one)
             r[: near_duplicates.ROWS] = 7
             rest.append((0, k, 10 * k + i, 10 * k + i % 2))
-            nodes.append((10 * k + i, 500, bytearray(r.tobytes())))
+            held.append((10 * k + i, len(one), bytearray(r.tobytes())))
+            sets.append((10 * k + i, bytearray(one.tobytes())))
         want.add((10 * k + link[0], 10 * k + link[1]))
-    rest = spark.createDataFrame(rest, "band int, key long, node long, label long").coalesce(1)
-    nodes = spark.createDataFrame(nodes, "node long, n_shingles long, registers binary").coalesce(1)
-    assert {(min(r), max(r)) for r in near_duplicates._across(rest, nodes).collect()} == want
+    made = lambda rows, kind: spark.createDataFrame(rows, kind).coalesce(1)
+    found = near_duplicates._across(made(rest, "band int, key long, node long, label long"), made(held, "node long, n_shingles long, registers binary"), made(sets, "node long, items binary"), 75)
+    assert {(min(r), max(r)) for r in found.collect()} == want
 
 
 @pytest.mark.parametrize("rows", [corpus(9), EMPTY], ids=["corpus", "empty"])
