@@ -1,30 +1,37 @@
 """Substring deduplication on the De Bruijn graph of word k-mers.
 
-Every run of K words is an edge from its first to its last K-1 words. Each edge's source is its first
-occurrence: the smallest document that has it, and the place there. An edge met again in a later
-document is a repeat. Repeated edges that follow one another both in the document and at their source
-lie on one nonbranching path there; such chains are compacted, by joins and windows over the source
-coordinates, into spans (document, begin, end, source, source begin), so a span of any length is one
-row and is confirmed by its source's consecutive places. A word covered by a span goes.
-
-Edges are 64-bit hashes of their words (128-bit arithmetic is not needed: what decides a span is a chain
-of equal hashes at consecutive places). In each slice of an Arrow batch equal edges meet first: later ones have
-found a source there, and one row per distinct edge goes on, so an edge that a third of all documents
-share reaches the shuffle at most once a slice. The hash space is worked through in ROUNDS parts, whose
-hits are written, so the shuffle holds a part of all edges at a time; there, a batch's edges for one
-bucket of the hash space are one compressed row of about 8 bytes an edge, and the number of buckets
-grows with the text.
+Every run of K words is an edge from its first to its last K-1 words, the nodes. An edge's source is its
+first occurrence: the smallest document that has it, and the place there; an edge met again in a later
+document is a repeated one. `hits` is the table of repeated edges with their sources.
+
+Repeated edges at consecutive places of a document and of one source are a run. Where a run ends and
+another begins at the next place, a join of runs gives the link between the two edges; a node is
+branching where its links lead to several edges, come from several ones, or where the source's own next
+or previous edge is repeated too, which a join with the edges tells. Runs are compacted over the links
+of nonbranching nodes into paths, maximal repeated ones of a document.
+
+Edges meet as 64-bit hashes, but words decide: the distinct ranges of source words that runs name are
+digested (128 bits) where they stand, the digests joined back to the runs, and a word goes if it is
+covered by a run whose own words have the same digest. Other places of a document with the words of a
+removed window go with it.
+
+In each slice of an Arrow batch equal edges meet first: later ones have found a source there, and one
+row per distinct edge goes on, so an edge that a third of all documents share reaches the shuffle at
+most once a slice. A slice's edges for one bucket of the hash space are one compressed row of about 8
+bytes an edge. The number of buckets grows with the text; beyond FAN of them, slices are dealt to FAN
+ranges of buckets first, and only merged slices to buckets. Ranges of a source that very many runs name
+are digested in groups of RANGES.
 
 Defined results: a null, empty or short text (fewer than K words) loses nothing. A null id is larger
-than all others. Rows with one id are one document's age but are kept apart by a hash of their texts;
-equal rows lose alike. Empty tables give empty results; other columns are not read.
+than all others. Rows with one id are one document's age and lose nothing by each other; equal rows lose
+alike. Empty tables give empty results; columns other than the id and the text are not read and kept
+as they are. A very long text is one row of words in a task, and its runs are put in order in one.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,14 +40,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import release, table, written
+from driftline.llm.common import release, shrink, slices, table, tidy, unused, written
 
 K = 13
-ROUNDS = 2
 #: Text whose edges one bucket holds: some 1.5 million, 40 MB in a task.
 BUCKET_BYTES = 10 << 20
+#: Buckets, or ranges of buckets, to which a slice is dealt at most; edges that are merged before they are
+#: dealt on; and ranges of one source that are digested together.
+FAN, MERGED, RANGES = 512, 2_000_000, 10_000
 NO_ID = (1 << 63) - 1
-SLICE = 8 << 20
+SLICE = 4 << 20
 _WORDS = 200_000
 _PRESS = zstandard.ZstdCompressor(level=1)
 
@@ -84,33 +93,26 @@ def windows(hashes: np.ndarray, k: int = K) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _tag(text: str) -> int:
-    return xxhash.xxh32_intdigest(text.encode()) >> 1
+def _cut(edges: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of hashes."""
+    return edges >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
-def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """The batch in parts of about SLICE characters, so that a task's arrays stay small."""
-    part = batch["text"].str.len().cumsum() // SLICE
-    yield from (rows for _, rows in batch.groupby(part.to_numpy(), sort=False))
-
-
-def _edges(batch: pd.DataFrame, words: WordHashes, k: int, part: int, parts: int) -> tuple[np.ndarray, ...]:
-    """(edge, document, place, number of the row in the batch) of the part's edges, by edge, document
-    and place, once per edge and row."""
-    edges, docs, places, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n, (doc, text) in enumerate(sorted(zip(batch["doc"], batch["text"], strict=True))):
-        h = windows(words.of(text.encode().split()), k)
-        at = np.flatnonzero(h % np.uint64(parts) == part)
-        edges.append(h[at])
-        docs.append(np.full(len(at), doc, np.int64))
-        places.append(at + (_tag(text) << 32))
-        rows.append(np.full(len(at), n, np.int64))
-    edge, doc, place, row = np.concatenate(edges), np.concatenate(docs), np.concatenate(places), np.concatenate(rows)
+def _edges(part: pd.DataFrame, words: WordHashes, k: int, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """(edge, document, row, place) by edge, document, row and place, once per edge and row."""
+    edges, docs, rows, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for doc, row, text in sorted(zip(part["doc"], part["row"], part["text"], strict=True)):
+        h = _cut(windows(words.of(text.encode().split()), k), bits)
+        edges.append(h)
+        docs.append(np.full(len(h), doc, np.int64))
+        rows.append(np.full(len(h), row, np.int64))
+        places.append(np.arange(len(h), dtype=np.int32))
+    edge = np.concatenate(edges)
     order = np.argsort(edge, kind="stable")
-    edge, doc, place, row = edge[order], doc[order], place[order], row[order]
+    edge, doc, row, place = edge[order], np.concatenate(docs)[order], np.concatenate(rows)[order], np.concatenate(places)[order]
     first = np.ones(len(edge), bool)
     first[1:] = (edge[1:] != edge[:-1]) | (row[1:] != row[:-1])
-    return edge[first], doc[first], place[first], row[first]
+    return edge[first], doc[first], row[first], place[first]
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -123,160 +125,246 @@ def _values(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _packed(edge: np.ndarray, doc: np.ndarray, place: np.ndarray, row: np.ndarray) -> bytes:
-    """Sorted edges with their documents and places, about 8 bytes each."""
-    last = np.full(row.max() + 1, -1)
-    last[row] = np.arange(len(row))
-    used = last[last >= 0]
-    which = (np.cumsum(last >= 0) - 1)[row]
-    known = np.stack([doc[used], place[used] >> 32], 1)
-    parts = [_planes(np.diff(edge, prepend=np.uint64(0))), _planes(which.astype(np.uint32)), _planes((place & 0xFFFFFFFF).astype(np.uint32)), _planes(known.ravel())]
+def _packed(edge: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> bytes:
+    """Sorted edges with their documents, rows and places, about 8 bytes each."""
+    known, which = np.unique(row, return_inverse=True)
+    ids = np.empty(len(known), np.int64)
+    ids[which] = doc
+    parts = [_planes(np.diff(edge, prepend=np.uint64(0))), _planes(which.astype(np.uint32)), _planes(place.astype(np.uint32)), _planes(np.concatenate([ids, known]))]
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     parts, at = [], 0
     while at < len(data):
         size = int.from_bytes(data[at : at + 8], "little")
         parts.append(data[at + 8 : at + 8 + size])
         at += 8 + size
-    which, known = _values(parts[1], np.uint32), _values(parts[3], np.int64).reshape(-1, 2)
-    return np.cumsum(_values(parts[0], np.uint64), dtype=np.uint64), known[which, 0], known[which, 1] << 32 | _values(parts[2], np.uint32).astype(np.int64)
+    which, known = _values(parts[1], np.uint32), _values(parts[3], np.int64).reshape(2, -1)
+    return np.cumsum(_values(parts[0], np.uint64), dtype=np.uint64), known[0][which], known[1][which], _values(parts[2], np.uint32).astype(np.int32)
+
 
+def _ordered(*parts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Edges of several parts by edge, document, row and place."""
+    edge, doc, row, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, row, doc, edge))
+    return edge[order], doc[order], row[order], place[order]
 
-def _later(edge: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of edges sorted by edge, document and place: whether a row's document is its edge's smallest,
-    and for every row the place in the arrays of its edge's first row."""
+
+def _later(edge: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted edges: whether a row's document is its edge's smallest, and the place in the arrays of
+    its edge's first row."""
     opens = np.ones(len(edge), bool)
     opens[1:] = edge[1:] != edge[:-1]
     head = np.flatnonzero(opens)[np.cumsum(opens) - 1] if len(edge) else np.empty(0, np.int64)
     return doc == doc[head], head
 
 
-def _found(doc: np.ndarray, place: np.ndarray, head: np.ndarray, later: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"doc": doc[later], "place": place[later], "source": doc[head][later], "source_place": place[head][later]})
+def _dealt(edges: tuple[np.ndarray, ...], begin: int, end: int, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed edges) of sorted edges in the buckets begin..end-1 of the evenly cut hash space."""
+    cuts = np.searchsorted(edges[0], np.array([(b << 64) // buckets for b in range(begin + 1, end)], np.uint64))
+    bounds = [0, *cuts.tolist(), len(edges[0])]
+    return [(b, _packed(*(e[x:y] for e in edges))) for b, x, y in zip(range(begin, end), bounds[:-1], bounds[1:], strict=True) if y > x]
+
+
+_PACKS = ["bucket", "asked", "settled"]
+
+
+def _redealt(batches: Iterator[pd.DataFrame], first: int, many: int) -> Iterator[pd.DataFrame]:
+    """Rows of `first` ranges, those of a range one after another, merged to some MERGED edges and dealt to
+    the range's `many` buckets."""
+    held, size, at = [], 0, None
+    for batch in batches:
+        for number, asked, settled in zip(batch["bucket"], batch["asked"], batch["settled"], strict=True):
+            if held and (number != at or size >= MERGED):
+                yield pd.DataFrame([(b, x, None) for b, x in _dealt(_ordered(*held), at * many, (at + 1) * many, first * many)], columns=_PACKS)
+                held, size = [], 0
+            at = number
+            if asked is not None:
+                held.append(_unpacked(bytes(asked)))
+                size += len(held[-1][0])
+            if settled is not None:
+                yield pd.DataFrame([(at * many + len(settled) % many, None, settled)], columns=_PACKS)
+    if held:
+        yield pd.DataFrame([(b, x, None) for b, x in _dealt(_ordered(*held), at * many, (at + 1) * many, first * many)], columns=_PACKS)
+
+
+HITS = "row long, at int, source_row long, source_at int"
+_HIT = ["row", "at", "source_row", "source_at"]
 
 
-def _hits_of(docs: DataFrame, k: int, part: int, rounds: int, buckets: int) -> DataFrame:
-    """Each batch packs the edges that it asks about, a row per bucket of edges; the hits that it
-    settled itself travel in the row of one bucket. A bucket's rows meet in one group."""
-    step = np.uint64((1 << 64) // buckets + 1)
+def hits(base: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
+    """row, at, source_row, source_at of every repeated edge of a row (row, doc, text), once per edge and
+    row; written. A slice settles what it can, a bucket's rows meet in one group. Edges are told apart by so
+    many bits of their hashes."""
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, size // BUCKET_BYTES + 1)
+    first = min(buckets, FAN)
+    buckets = -(-buckets // first) * first
 
+    @tidy
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
-        for batch in (part for whole in batches for part in _slices(whole)):
-            edge, doc, place, row = _edges(batch, words, k, part, rounds)
-            if not len(edge):
-                continue
-            asks, head = _later(edge, doc, place)
-            settled = _found(doc, place, head, ~asks).to_numpy(np.int64)
-            edge, doc, place, row = edge[asks], doc[asks], place[asks], row[asks]
-            cuts = np.searchsorted(edge, np.arange(1, buckets, dtype=np.uint64) * step)
-            bounds = [0, *cuts.tolist(), len(edge)]
-            rows = [(b, _packed(edge[x:y], doc[x:y], place[x:y], row[x:y]), None) for b, (x, y) in enumerate(zip(bounds, bounds[1:])) if y > x]  # noqa: B905
-            for n, x in enumerate(range(0, len(settled), 100_000)):
-                rows.append((int(edge[0] % np.uint64(buckets) + np.uint64(n)) % buckets, None, _planes(settled[x : x + 100_000].ravel())))
-            yield pd.DataFrame(rows, columns=["bucket", "asked", "settled"])
+        for part in slices(batches, SLICE):
+            edge, doc, row, place = _edges(part, words, k, bits)
+            asks, head = _later(edge, doc)
+            found = np.stack([row, place, row[head], place[head]], 1)[~asks].astype(np.int64)
+            rows = [(b, x, None) for b, x in _dealt((edge[asks], doc[asks], row[asks], place[asks]), 0, first, first)]
+            for n, x in enumerate(range(0, len(found), 100_000)):
+                rows.append(((int(edge[0] >> np.uint64(8)) + n) % first, None, _planes(found[x : x + 100_000].ravel())))
+            if rows:
+                yield pd.DataFrame(rows, columns=_PACKS)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(_values(bytes(x), np.int64).reshape(-1, 4), columns=["doc", "place", "source", "source_place"]) for x in rows["settled"] if x is not None]
+        out = [_values(bytes(x), np.int64).reshape(-1, 4) for x in rows["settled"] if x is not None]
         asked = [_unpacked(bytes(x)) for x in rows["asked"] if x is not None]
         if len(asked) > 1:
-            edge, doc, place = (np.concatenate(x) for x in zip(*asked, strict=True))
+            edge = np.concatenate([x[0] for x in asked])
             order = np.argsort(edge, kind="stable")
             edge = edge[order]
             shared = np.zeros(len(edge), bool)
             shared[1:] = edge[1:] == edge[:-1]
             shared[:-1] |= shared[1:]
-            edge, order = edge[shared], order[shared]
-            doc, place = doc[order], place[order]
-            order = np.lexsort((place, doc, edge))
-            edge, doc, place = edge[order], doc[order], place[order]
-            own, head = _later(edge, doc, place)
-            out.append(_found(doc, place, head, ~own))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(np.empty((0, 4), np.int64), columns=["doc", "place", "source", "source_place"])
-
-    rows = docs.mapInPandas(pack, "bucket int, asked binary, settled binary")
-    return written(rows.groupBy("bucket").applyInPandas(meet, "doc long, place long, source long, source_place long"))
-
-
-def hits(docs: DataFrame, k: int = K, rounds: int = ROUNDS) -> list[DataFrame]:
-    """doc, place, source, source_place of every edge of a document that a smaller document has too,
-    once per edge and document; place holds a tag of the text above its lower 32 bits. A written table
-    a round."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, size // (BUCKET_BYTES * rounds) + 1)
-    found = []
-    for part in range(rounds):
-        found.append(_hits_of(docs, k, part, rounds, buckets))
-    return found
-
-
-def spans(found: DataFrame, k: int = K) -> DataFrame:
-    """Hits compacted: doc, tag, begin, end (words), source, source_begin of every maximal chain of hits at
-    consecutive places of the document and of one source."""
-    in_doc = Window.partitionBy("doc", "tag").orderBy("at")
-    steps = found.select("doc", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("at"), "source", F.shiftright("source_place", 32).alias("source_tag"), F.col("source_place").bitwiseAND(0xFFFFFFFF).alias("source_at"))
-    before = lambda c: F.lag(c).over(in_doc)
-    follows = (before("at") + 1 == F.col("at")) & (before("source") == F.col("source")) & (before("source_tag") == F.col("source_tag")) & (before("source_at") + 1 == F.col("source_at"))
-    chains = steps.withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("chain", F.sum("opens").over(in_doc))
-    return chains.groupBy("doc", "tag", "chain").agg(F.min("at").alias("begin"), (F.max("at") + k).alias("end"), F.first("source").alias("source"), F.min("source_at").alias("source_begin")).drop("chain")
-
-
-def removals(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with its own columns, n_words, n_removed, kept_text (the words that stay, joined
-    by one space) and kept_sha256."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    plain = docs.select(key.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = hits(plain, k)
-    chains = written(spans(reduce(DataFrame.unionByName, found), k))
-    for part in found:
-        release(part)
-    covered = chains.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
-
-    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(_tag)
-
-    tag = F.pandas_udf(_typed(tagged), "long")
-    rows = docs.withColumns({"_doc": key, "_text": F.coalesce(F.col(text_col), F.lit(""))}).withColumn("_tag", tag("_text"))
-    rows = rows.join(covered, (rows["_doc"] == covered["doc"]) & (rows["_tag"] == covered["tag"]), "left").drop("doc", "tag")
-    words = WordHashes()
-
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, marks in batches:
+            order, edge = order[shared], edge[shared]
+            edge, doc, row, place = _ordered((edge, *(np.concatenate([x[i] for x in asked])[order] for i in (1, 2, 3))))
+            own, head = _later(edge, doc)
+            out.append(np.stack([row, place, row[head], place[head]], 1)[~own].astype(np.int64))
+        del asked
+        made = pd.DataFrame(np.concatenate(out) if out else np.empty((0, 4), np.int64), columns=_HIT).astype({"at": np.int32, "source_at": np.int32})
+        shrink()
+        return made
+
+    kind = "bucket long, asked binary, settled binary"
+    rows = base.select("row", "doc", "text").mapInPandas(pack, kind)
+    if buckets > first:
+        many = buckets // first
+
+        @tidy
+        def redeal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return _redealt(batches, first, many)
+
+        rows = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInPandas(redeal, kind)
+    return written(rows.groupBy("bucket").applyInPandas(meet, HITS))
+
+
+def runs(found: DataFrame) -> DataFrame:
+    """Hits compacted: row, first, last (places of edges), source_row, source_first of every maximal run at
+    consecutive places of the row and of one source; written."""
+    in_row = Window.partitionBy("row").orderBy("at")
+    before = lambda c: F.lag(c).over(in_row)
+    follows = (before("at") + 1 == F.col("at")) & (before("source_row") == F.col("source_row")) & (before("source_at") + 1 == F.col("source_at"))
+    chains = found.withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("opens").over(in_row))
+    return written(chains.groupBy("row", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("source_row").alias("source_row"), F.min("source_at").alias("source_first")).drop("run"))
+
+
+def paths(made: DataFrame, found: DataFrame) -> DataFrame:
+    """The runs with `path`, the first place of the maximal nonbranching path of the row that each is a part of."""
+    edge = lambda r, at: F.struct(F.col(r).alias("row"), at.cast("int").alias("at"))
+    a = made.select("row", F.col("last").alias("before"), edge("source_row", F.col("source_first") + F.col("last") - F.col("first")).alias("from"))
+    b = made.select("row", F.col("first"), (F.col("first") - 1).alias("before"), edge("source_row", F.col("source_first")).alias("to"))
+    links = a.join(b, ["row", "before"]).select("row", "first", "from", "to")
+    # nodes, by the edge that enters or leaves them, with one link each way
+    one = lambda by, to: links.groupBy(by).agg(F.min(to).alias("low"), F.max(to).alias("high")).where("low = high").select(by)
+    straight = found.select(edge("source_row", F.col("source_at")).alias("edge")).distinct()
+    after, ahead = (straight.select(edge("edge.row", F.col("edge.at") + step).alias(x)) for x, step in (("from", -1), ("to", 1)))
+    simple = links.join(one("from", "to"), "from", "left_semi").join(one("to", "from"), "to", "left_semi").join(after, "from", "left_anti").join(ahead, "to", "left_anti")
+    marked = made.join(simple.select("row", "first", F.lit(1).alias("goes_on")), ["row", "first"], "left")
+    start = F.last(F.when(F.col("goes_on").isNull(), F.col("first")), ignorenulls=True)
+    return marked.withColumn("path", start.over(Window.partitionBy("row").orderBy("first"))).drop("goes_on")
+
+
+def _digest(words: list[bytes], begin: int, end: int) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words[begin:end]))
+
+
+def digests(ranges: DataFrame, base: DataFrame) -> DataFrame:
+    """The distinct ranges (row, begin, n) of words with their digests; written."""
+    wanted = ranges.select("row", "begin", "n").distinct()
+    large = wanted.groupBy("row").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > RANGES)
+    part = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("begin", "n"), F.ceil(F.col("many") / RANGES)))
+    asked = wanted.join(large, "row", "left").withColumn("part", part).groupBy("row", "part").agg(F.collect_list("begin").alias("begins"), F.collect_list("n").alias("sizes"))
+
+    @tidy
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in slices(batches, SLICE):
             out = []
-            for text, mark in zip(texts, marks, strict=True):
-                data = text.encode().split()
-                goes = np.zeros(len(data), bool)
-                if mark is not None and len(mark):
-                    # an edge is written once per document: its other places there go with it
-                    h, hit = windows(words.of(data), k), np.zeros(max(len(data) - k + 1, 0), bool)
-                    for span in mark:
-                        hit[span["begin"] : span["end"] - k + 1] = True
-                    hit = np.isin(h, h[hit])
-                    edge = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(edge, np.flatnonzero(hit), 1)
-                    np.add.at(edge, np.flatnonzero(hit) + k, -1)
-                    goes = np.cumsum(edge)[:-1] > 0
-                said = b" ".join([w for w, g in zip(data, goes.tolist(), strict=True) if not g]) if goes.any() else b" ".join(data)
-                out.append((len(data), int(goes.sum()), said.decode(), hashlib.sha256(said).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text", "kept_sha256"])
-
-    apply = F.pandas_udf(_typed(kept, 2), "n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return rows.withColumn("_kept", apply("_text", "_spans")).select(*docs.columns, "_kept.*")
-
-
-def _typed(f, inputs: int = 1):
-    """f with the annotations by which Spark knows an iterator of series."""
-    series = Iterator[pd.Series] if inputs == 1 else Iterator[tuple[pd.Series, ...]]
-    f.__annotations__ = {next(iter(f.__code__.co_varnames)): series, "return": Iterator[pd.Series] if inputs == 1 else Iterator[pd.DataFrame]}
-    return f
+            for row, text, begins, sizes in zip(part["row"], part["text"], part["begins"], part["sizes"], strict=True):
+                words = text.encode().split()
+                out += [(row, b, n, _digest(words, b, b + n)) for b, n in zip(begins.tolist(), sizes.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["row", "begin", "n", "digest"])
+
+    return written(base.select("row", "text").join(asked, "row").select("row", "text", "begins", "sizes").mapInPandas(run, "row long, begin int, n int, digest binary"))
+
+
+def removals(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", out_col: str = "cut", bits: int = 64) -> DataFrame:
+    """Every row of docs with its own columns and out_col, a struct of n_words, n_removed, n_paths and
+    longest_path (words) of the paths removed, kept_text (the words that stay, joined by one space) and
+    kept_sha256. With fewer bits of hashes some repeats are missed, but no other word goes."""
+    number = unused(docs, "_row")
+    whole = written(docs.withColumn(number, F.monotonically_increasing_id()))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = whole.select(F.col(number).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
+    found = hits(base, k, bits)
+    made = runs(found)
+    walked = written(paths(made, found).withColumn("n", (F.col("last") - F.col("first") + k).cast("int")))
+    release(found)
+    release(made)
+    sources = digests(walked.select(F.col("source_row").alias("row"), F.col("source_first").alias("begin"), "n"), base)
+    named = sources.select(F.col("row").alias("source_row"), F.col("begin").alias("source_first"), "n", "digest")
+    spans = walked.join(named, ["source_row", "source_first", "n"])
+    spans = written(spans.groupBy("row").agg(*(F.collect_list(c).alias(c) for c in ("first", "n", "path", "digest"))))
+    release(walked)
+    release(sources)
+    hashes = WordHashes()
+
+    def kept(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts, firsts, sizes, owners, wanted in batches:
+                rows = [_kept(x.encode().split(), f, n, p, d, hashes, k) for x, f, n, p, d in zip(texts, firsts, sizes, owners, wanted, strict=True)]
+                yield pd.DataFrame(rows, columns=["n_words", "n_removed", "n_paths", "longest_path", "kept_text", "kept_sha256"])
+        finally:
+            shrink()
+
+    kept.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    apply = F.pandas_udf(kept, "n_words long, n_removed long, n_paths long, longest_path long, kept_text string, kept_sha256 string")
+    mine = unused(docs, "_spans")
+    rows = whole.join(spans.select(F.col("row").alias(number), F.struct("first", "n", "path", "digest").alias(mine)), number, "left")
+    return rows.withColumn(out_col, apply(text, *(F.col(mine)[c] for c in ("first", "n", "path", "digest")))).select(*docs.columns, out_col)
+
+
+def _kept(words: list[bytes], firsts, sizes, owners, wanted, hashes: WordHashes, k: int) -> tuple:
+    """n_words, n_removed, n_paths, longest_path, kept_text, kept_sha256 of a text's words."""
+    goes, lengths = np.zeros(len(words), bool), {}
+    if firsts is not None and len(firsts):
+        single = hashes.of(words)
+        edge, hit = windows(single, k), np.zeros(max(len(words) - k + 1, 0), bool)
+        for first, n, path, digest in zip(firsts.tolist(), sizes.tolist(), owners.tolist(), wanted, strict=True):
+            if _digest(words, first, first + n) == bytes(digest):
+                hit[first : first + n - k + 1] = True
+                lengths[path] = max(lengths.get(path, 0), first + n - path)
+        # an edge is named once a row: its other places there, if they have its words, go with it
+        places = np.flatnonzero(hit)
+        places = places[np.argsort(edge[places], kind="stable")]
+        if len(places):
+            other = np.flatnonzero(~hit)
+            like = places[np.minimum(np.searchsorted(edge[places], edge[other]), len(places) - 1)]
+            other, like = other[edge[like] == edge[other]], like[edge[like] == edge[other]]
+            for x in range(0, len(other), 1 << 16):
+                part = slice(x, x + (1 << 16))
+                same = (single[other[part, None] + np.arange(k)] == single[like[part, None] + np.arange(k)]).all(1)
+                hit[other[part][same]] = True
+        cover = np.zeros(len(words) + 1, np.int64)
+        np.add.at(cover, np.flatnonzero(hit), 1)
+        np.add.at(cover, np.flatnonzero(hit) + k, -1)
+        goes = np.cumsum(cover)[:-1] > 0
+    said = b" ".join([w for w, g in zip(words, goes.tolist(), strict=True) if not g]) if goes.any() else b" ".join(words)
+    return len(words), int(goes.sum()), len(lengths), max(lengths.values(), default=0), said.decode(), hashlib.sha256(said).hexdigest()
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removals(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    cut = removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
 ORACLE = r"""

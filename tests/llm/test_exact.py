@@ -45,6 +45,49 @@ def test_near_duplicates_and_repeats(spark, table_of, rows):
     assert found == plain.removed(rows)
 
 
+def test_repeats_by_two_levels_of_buckets_and_one_partition(spark, table_of, monkeypatch):
+    rows = corpus(11)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(substrings, "FAN", 3)
+    monkeypatch.setattr(substrings, "MERGED", 500)
+    monkeypatch.setattr(substrings, "RANGES", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.op10_substrings(spark, table_of(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == plain.removed(rows)
+
+
+def test_equal_hashes_of_other_words_remove_nothing(spark):
+    words = [" ".join(f"d{i}w{j}" for j in range(40)) for i in range(30)]
+    rows = [*enumerate(words), (90, words[0] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["cut"]["n_removed"] for r in substrings.removals(docs, bits=3).collect()}
+    assert {i: n for i, n in got.items() if i < 90} == dict.fromkeys(range(30), 0)
+    assert substrings.hits(docs.selectExpr("doc_id AS row", "doc_id AS doc", "text"), bits=3).count() > 200
+    assert {r["doc_id"]: r["cut"]["n_removed"] for r in substrings.removals(docs).collect()} == {**dict.fromkeys(range(30), 0), 90: 40}
+
+
+def test_paths_are_nonbranching_runs(spark):
+    # row 5 walks source 1 at 3..6, goes on in source 2 at 0..4; row 6 does so too; row 7 leaves source 3 for source 4, row 8 leaves it for source 2
+    walks = [(5, 0, 1, 3, 4), (5, 4, 2, 0, 5), (6, 10, 1, 3, 4), (6, 14, 2, 0, 5), (7, 0, 3, 0, 3), (7, 3, 4, 0, 3), (8, 0, 3, 1, 2), (8, 2, 9, 7, 2)]
+    hits = [(row, at + i, source, begin + i) for row, at, source, begin, n in walks for i in range(n)]
+    found = spark.createDataFrame(hits, substrings.HITS)
+    made = substrings.runs(found)
+    got = {(r["row"], r["first"]): (r["last"], r["path"]) for r in substrings.paths(made, found).collect()}
+    assert got == {(5, 0): (3, 0), (5, 4): (8, 0), (6, 10): (13, 10), (6, 14): (18, 10), (7, 0): (2, 0), (7, 3): (5, 3), (8, 0): (1, 0), (8, 2): (3, 2)}
+
+
+def test_repeats_keep_columns_of_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 7, "a", "b", "c"), (2, "x " + text, 8, "d", "e", "f"), (3, None, 9, "g", "h", "i")], "doc_id long, text string, _row long, tag string, n_words string, kept_text string")
+    got = substrings.removals(docs).orderBy("doc_id").collect()
+    assert [tuple(r)[:6] for r in got] == [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    assert [(r["cut"]["n_removed"], r["cut"]["n_paths"], r["cut"]["longest_path"]) for r in got] == [(0, 0, 0), (30, 1, 30), (0, 0, 0)]
+
+
 def test_rows_of_one_id_and_null_ids(spark, table_of):
     text = " ".join(f"t{i}" for i in range(30))
     d = table_of([(3, text), (3, text), (3, "another text of its own"), (None, text), (5, text + " end")])
