@@ -6,8 +6,8 @@ document is a repeated one. `hits` is the table of repeated edges with their sou
 
 Repeated edges at consecutive places of a document and of one source are a run. Where a run ends and
 another begins at the next place, a join of runs gives the link between the two edges; a node is
-branching where its links lead to several edges, come from several ones, or where the source's own next
-or previous edge is repeated too, which a join with the edges tells. Runs are compacted over the links
+branching where its links lead to several edges or come from several ones, or where the source's own
+next or previous edge is repeated too. Runs are compacted over the links
 of nonbranching nodes into paths, maximal repeated ones of a document.
 
 Edges meet as 64-bit hashes, but words decide: the distinct ranges of source words that runs name are
@@ -258,17 +258,23 @@ def runs(found: DataFrame) -> DataFrame:
     return written(chains.groupBy("row", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("source_row").alias("source_row"), F.min("source_at").alias("source_first")).drop("run"))
 
 
-def paths(made: DataFrame, found: DataFrame) -> DataFrame:
+def paths(made: DataFrame) -> DataFrame:
     """The runs with `path`, the first place of the maximal nonbranching path of the row that each is a part of."""
-    edge = lambda r, at: F.struct(F.col(r).alias("row"), at.cast("int").alias("at"))
-    a = made.select("row", F.col("last").alias("before"), edge("source_row", F.col("source_first") + F.col("last") - F.col("first")).alias("from"))
-    b = made.select("row", F.col("first"), (F.col("first") - 1).alias("before"), edge("source_row", F.col("source_first")).alias("to"))
-    links = a.join(b, ["row", "before"]).select("row", "first", "from", "to")
+    source_last = F.col("source_first") + F.col("last") - F.col("first")
+    a = made.select("row", (F.col("last") + 1).alias("first"), F.col("source_row").alias("from_row"), source_last.alias("from_at"))
+    b = made.select("row", "first", F.col("source_row").alias("to_row"), F.col("source_first").alias("to_at"))
+    links = written(a.join(b, ["row", "first"]))
+    leave, enter = ["from_row", "from_at"], ["to_row", "to_at"]
     # nodes, by the edge that enters or leaves them, with one link each way
-    one = lambda by, to: links.groupBy(by).agg(F.min(to).alias("low"), F.max(to).alias("high")).where("low = high").select(by)
-    straight = found.select(edge("source_row", F.col("source_at")).alias("edge")).distinct()
-    after, ahead = (straight.select(edge("edge.row", F.col("edge.at") + step).alias(x)) for x, step in (("from", -1), ("to", 1)))
-    simple = links.join(one("from", "to"), "from", "left_semi").join(one("to", "from"), "to", "left_semi").join(after, "from", "left_anti").join(ahead, "to", "left_anti")
+    one = lambda by, to: links.groupBy(*by).agg(F.min(F.struct(*to)).alias("low"), F.max(F.struct(*to)).alias("high")).where("low = high").select(*by)
+    # and whose source's own next, or previous, edge is not repeated: no run reaches it
+    reach = made.groupBy(F.col("source_row").alias("r"), F.col("source_first").alias("at")).agg(F.max(source_last).alias("reach"))
+    asked = links.select(F.col("from_row").alias("r"), (F.col("from_at") + 1).alias("at")).unionByName(links.select(F.col("to_row").alias("r"), (F.col("to_at") - 1).alias("at"))).distinct()
+    marks = reach.unionByName(asked.withColumn("reach", F.lit(None).cast("int")))
+    so_far = F.max("reach").over(Window.partitionBy("r").orderBy("at", F.col("reach").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    straight = marks.withColumn("far", so_far).where("reach IS NULL AND far >= at").select("r", "at")
+    after, ahead = (straight.select(F.col("r").alias(r), (F.col("at") + step).alias(at)) for (r, at), step in ((leave, -1), (enter, 1)))
+    simple = links.join(one(leave, enter), leave, "left_semi").join(one(enter, leave), enter, "left_semi").join(after, leave, "left_anti").join(ahead, enter, "left_anti")
     marked = made.join(simple.select("row", "first", F.lit(1).alias("goes_on")), ["row", "first"], "left")
     start = F.last(F.when(F.col("goes_on").isNull(), F.col("first")), ignorenulls=True)
     return marked.withColumn("path", start.over(Window.partitionBy("row").orderBy("first"))).drop("goes_on")
@@ -307,8 +313,8 @@ def removals(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
     base = whole.select(F.col(number).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"))
     found = hits(base, k, bits)
     made = runs(found)
-    walked = written(paths(made, found).withColumn("n", (F.col("last") - F.col("first") + k).cast("int")))
     release(found)
+    walked = written(paths(made).withColumn("n", (F.col("last") - F.col("first") + k).cast("int")))
     release(made)
     sources = digests(walked.select(F.col("source_row").alias("row"), F.col("source_first").alias("begin"), "n"), base)
     named = sources.select(F.col("row").alias("source_row"), F.col("begin").alias("source_first"), "n", "digest")
@@ -320,9 +326,11 @@ def removals(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str
 
     def kept(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         try:
-            for texts, firsts, sizes, owners, wanted in batches:
-                rows = [_kept(x.encode().split(), f, n, p, d, hashes, k) for x, f, n, p, d in zip(texts, firsts, sizes, owners, wanted, strict=True)]
-                yield pd.DataFrame(rows, columns=["n_words", "n_removed", "n_paths", "longest_path", "kept_text", "kept_sha256"])
+            for columns in batches:
+                named = dict(zip(("text", "first", "n", "path", "digest"), columns, strict=True))
+                for part in slices(iter([pd.DataFrame(named)]), SLICE // 4):
+                    rows = [_kept(x.encode().split(), *more, hashes, k) for x, *more in part.itertuples(index=False)]
+                    yield pd.DataFrame(rows, columns=["n_words", "n_removed", "n_paths", "longest_path", "kept_text", "kept_sha256"])
         finally:
             shrink()
 

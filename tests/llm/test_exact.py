@@ -76,7 +76,7 @@ def test_paths_are_nonbranching_runs(spark):
     hits = [(row, at + i, source, begin + i) for row, at, source, begin, n in walks for i in range(n)]
     found = spark.createDataFrame(hits, substrings.HITS)
     made = substrings.runs(found)
-    got = {(r["row"], r["first"]): (r["last"], r["path"]) for r in substrings.paths(made, found).collect()}
+    got = {(r["row"], r["first"]): (r["last"], r["path"]) for r in substrings.paths(made).collect()}
     assert got == {(5, 0): (3, 0), (5, 4): (8, 0), (6, 10): (13, 10), (6, 14): (18, 10), (7, 0): (2, 0), (7, 3): (5, 3), (8, 0): (1, 0), (8, 2): (3, 2)}
 
 
