@@ -4,7 +4,8 @@ The words of each source are laid end to end and cut into blocks of a fixed leng
 target (its share by weight, at most twice its size, the excess shared anew) becomes a number of
 slots: whole passes over all its blocks, then as many further slots as the rest needs, the last one
 cut to the word. Every slot falls on an output shard by a pseudorandom draw, so the counts of a
-source over the shards are multinomial given its total, and the totals stay on target. Slot j of a
+source over the shards are multinomial given its total (`counts`), and the totals stay on target; `blocks`
+is the mix itself, shard by shard. Slot j of a
 pass reads block perm(j), where perm is a swap-or-not shuffle keyed by source and pass: a bijection
 of the block indexes that each row computes alone. Slots and blocks meet in a join by index.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table, words, written
+from driftline.llm.common import let, table, unused, words, written
 
 BLOCK = 256
 RUN = 1024
@@ -37,7 +38,7 @@ WEIGHTS = (3, 1, 2)
 @dataclass(frozen=True)
 class Mix:
     """rows: _row, doc_id, size, source_size, target, _source, _start; slots: _source, shard, pass,
-    block, n_words; parts: _row, doc_id, pass, shard, begin, end (words of the document)."""
+    block, n_words; parts: _row, doc_id, pass, shard, block, begin, end (words of the document)."""
 
     rows: DataFrame
     slots: DataFrame
@@ -72,9 +73,9 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, one)
 
 
-def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: str = "mix-1") -> Mix:
+def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: str = "mix-1", shard_slots: int = SHARD_SLOTS) -> Mix:
     """The mix of rows (_row: unique and stable, doc_id, source, size). weights go round the sources
-    in order of code points, null last."""
+    in order of code points, null last; a shard has about shard_slots slots."""
     sized = sized.withColumns({"_source": F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("n")), "size": F.col("size").cast("long")})
     count = sized.count()
     per_bucket = max(512, int(count**0.5))
@@ -92,7 +93,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     spread = sources.where("source_size > 0").select("_source", "source_size", F.round("target").cast("long").alias("_take"))
     spread = spread.withColumns({"_passes": F.expr("_take div source_size"), "_rest": F.expr("_take % source_size"), "_blocks": F.expr(f"(source_size + {block - 1}) div {block}")})
     spread = spread.withColumn("_slots", F.expr(f"_passes * _blocks + (_rest + {block - 1}) div {block}"))
-    spread = spread.withColumn("_shards", F.ceil(F.sum("_slots").over(Window.partitionBy()) / SHARD_SLOTS)).where("_slots > 0")
+    spread = spread.withColumn("_shards", F.ceil(F.sum("_slots").over(Window.partitionBy()) / shard_slots)).where("_slots > 0")
     # by a number, else few small runs would be put into one task, which then makes all slots
     parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = spread.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {RUN})"))).repartition(parts, "_source", "_run")
@@ -108,7 +109,7 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     met = pieces.join(slots.hint("merge"), ["_source", "block"])
     begin = F.greatest(F.col("block") * block - F.col("_start"), F.lit(0))
     end = F.least(F.col("block") * block + F.col("n_words") - F.col("_start"), F.col("size"))
-    parts = met.select("_row", "doc_id", "pass", "shard", begin.alias("begin"), end.alias("end")).where("begin < end")
+    parts = met.select("_row", "doc_id", "pass", "shard", "block", begin.alias("begin"), end.alias("end")).where("begin < end")
     return Mix(rows, slots, parts)
 
 
@@ -117,14 +118,46 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).alias("size")))
 
 
+def counts(mixed: Mix) -> DataFrame:
+    """shard, _source, n_slots, n_words: what each output shard draws from each source."""
+    return mixed.slots.groupBy("shard", "_source").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("n_words").cast("long").alias("n_words"))
+
+
+def pieces(text: Column) -> Column:
+    """Array of the words of a text, each with the white space before it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+
+
+def _sliced(all_pieces: Column, begin: Column, end: Column) -> Column:
+    return F.slice(all_pieces, begin.cast("int") + 1, (end - begin).cast("int"))
+
+
+def blocks(docs: DataFrame, **settings) -> DataFrame:
+    """The mix as blocks: shard, source, pass, block, n_words, text of every slot, a block's words as
+    they stand in their documents, those of different documents with a line break between."""
+    kept = written(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text"))
+    mixed = mix(kept.select("_row", "doc_id", "source", F.size(words(F.col("text"))).alias("size")), **settings)
+    starts = mixed.rows.select("_row", "_start")
+    cut = mixed.parts.join(kept.select("_row", "source", "text"), "_row").join(starts, "_row").select(
+        "shard", "source", "pass", "block", "_start", (F.col("end") - F.col("begin")).alias("n"), F.regexp_replace(F.array_join(_sliced(pieces(F.col("text")), F.col("begin"), F.col("end")), ""), r"^[\x20\x09-\x0D]+", "").alias("text")
+    )
+    said = F.transform(F.sort_array(F.collect_list(F.struct("_start", "text"))), lambda x: x["text"])
+    return cut.groupBy("shard", "source", "pass", "block").agg(F.sum("n").cast("long").alias("n_words"), F.array_join(said, "\n").alias("text"))
+
+
 def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: per document and pass that takes words of it one row, whose text is
-    those words in order, joined by one space; all other columns stay."""
-    kept = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    sized = written(kept.select("_row", "doc_id", "source", F.size(words(F.col("text"))).alias("size")))
-    spans = mix(sized, **settings).parts.groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_spans"))
-    said = F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), s["begin"].cast("int") + 1, (s["end"] - s["begin"]).cast("int"))))
-    out = kept.join(spans, "_row").withColumn("_words", words(F.col("text"))).withColumn("text", F.array_join(said, " "))
+    those words with the white space between them, the whole text unchanged where all are taken; all
+    other columns stay, but n_chars follows the text."""
+    row, spans_ = (unused(docs, x) for x in ("_row", "_spans"))
+    kept = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    sized = written(kept.select(F.col(row).alias("_row"), "doc_id", "source", F.size(words(F.col("text"))).alias("size")))
+    mixed = mix(sized, **settings)
+    spans = mixed.parts.groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("n"))
+    spans = spans.join(sized.select("_row", "size"), "_row").select(F.col("_row").alias(row), F.struct("spans", (F.col("n") == F.col("size")).alias("whole")).alias(spans_))
+    said = let(pieces(F.col("text")), lambda p: F.array_join(F.flatten(F.transform(F.col(spans_)["spans"], lambda s: _sliced(p, s["begin"], s["end"]))), ""))
+    text = F.when(F.col(spans_)["whole"], F.col("text")).otherwise(F.regexp_replace(said, r"^[\x20\x09-\x0D]+", ""))
+    out = kept.join(spans, row).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -132,6 +165,6 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(sizes(table(spark, sf_dir, "documents")))
-    taken = mixed.parts.groupBy("_row").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
+    taken = mixed.parts.groupBy("_row").agg(F.sum(F.col("end") - F.col("begin")).alias("taken"), F.size(F.collect_set("shard")).alias("n_shards"))
     out = mixed.rows.join(taken, "_row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"))

@@ -7,12 +7,13 @@ Long documents are cut into chunks that overlap by WIDTH bytes, so each window l
 chunk and the maximum over chunks is that over the document: memory is bounded by a block of chunks
 however long a text is, and no byte is left out.
 
-The network is fitted on about TRAIN_ROWS labelled documents of up to TRAIN_BYTES bytes (both
-parameters). Scoring is one pass in Arrow batches without a shuffle.
+The network is fitted on about TRAIN_ROWS labelled documents of about TRAIN_BYTES bytes together at most
+(both parameters), whole texts of any length. Scoring is one pass in Arrow batches without a shuffle.
 
 Defined results: null and empty texts are one window of padding and get a score like any other.
 Without labels, or with one class only, every score is the smoothed share of label 1. Repeated rows
-and ids score alike; a null id is never held out. Other columns are not read.
+and ids score alike; of rows of one id, one is learnt from. A null id is never held out, nor learnt from.
+Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import slices, table, tidy
 from driftline.llm.labelled import fold, sample
 
 TRAIN_ROWS = 2_000
-TRAIN_BYTES = 1 << 15
+TRAIN_BYTES = 16 << 20
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
 CHUNK, BLOCK = 1 << 13, 1 << 16
 THRESHOLD = 0.3
+PART_CHARS = 1 << 21
 _SYMBOLS = 257  # bytes, and padding
 
 
@@ -152,10 +154,10 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 12, seed: int = 11) ->
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn=None, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> Network:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn=None, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Network:
     """A network for labels.<label>, learnt from the rows of labels for which `learn` holds."""
     learn = F.lit(True) if learn is None else learn
-    got = sorted((r["doc_id"], r["text"].encode(), r["y"]) for r in sample(docs, labels, label, learn, rows, longest).collect())
+    got = sorted((r["doc_id"], r["text"].encode(), r["y"]) for r in sample(docs, labels, label, learn, rows, most).collect())
     return fit([x for _, x, _ in got], np.array([y for _, _, y in got]))
 
 
@@ -163,8 +165,9 @@ def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: s
     """doc_id, score for every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(network)
 
+    @tidy
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches, PART_CHARS):
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.value.scores([x.encode() for x in batch["text"]]).astype(float)})
 
     kind = docs.schema[id_col].dataType.simpleString()

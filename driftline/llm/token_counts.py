@@ -2,15 +2,18 @@
 
 A text's pre-tokens are its words, each with a mark for the space before it. The count of a
 pre-token is that of its segmentation of largest total score (ties: fewest tokens). The distinct
-pre-tokens of a batch are walked in sorted order, which is the depth-first order of their trie: the
+pre-tokens of a part of a batch are walked in sorted order, which is the depth-first order of their trie: the
 forward scores of a prefix are computed once, stay on a stack while pre-tokens share it, and the
 count at each terminal is stored. A worker keeps the counts of the pre-tokens it met, up to a bound.
 
 A character outside the vocabulary costs one token a byte, at the vocabulary's lowest score. The
-vocabulary and its scores are read from a SentencePiece model file; nothing is trained.
+vocabulary and its scores are read from a SentencePiece model file; nothing is trained. No unigram model
+is among the public files: the query reads the merge ranks of a BPE model as scores, so its counts are
+those of that vocabulary's best segmentation and of no tokenizer in use.
 
 Defined results: null, empty and blank texts have no words and no tokens. Rows are independent, so
-ties and repeated rows give equal rows; other columns are not read. One Arrow pass, no shuffle.
+ties and repeated rows give equal rows; other columns are not read. An empty table gives an empty result.
+A very long text is split whole in a task, and so is a very long word. One Arrow pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import slices, table, tidy
 from driftline.llm.sentencepieces import SPACE, model_file
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_MEMO = 300_000
+#: Characters of words whose counts a worker keeps, and of text that it splits at a time.
+_MEMO_CHARS, PART_CHARS = 4 << 20, 1 << 20
 
 
 class Unigrams:
@@ -83,29 +87,29 @@ class Unigrams:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[Unigrams, dict[str, int]]:
-    """A worker's vocabulary and the counts it has met, for all its tasks."""
-    return Unigrams.load(path), {}
+def _worker(path: str) -> tuple[Unigrams, dict[str, int], list[int]]:
+    """A worker's vocabulary, and the counts it has met and their characters, for all its tasks."""
+    return Unigrams.load(path), {}, [0]
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens, max_word_tokens (tokens of the costliest word) of every row."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, memo = _worker(model_path)
-        for batch in batches:
-            for part in range(0, len(batch), 512):
-                rows = batch.iloc[part : part + 512]
-                split = [_WORD.findall(x) for x in rows["text"]]
-                new = {w for x in split for w in x if w not in memo}
-                if new:
-                    if len(memo) + len(new) > _MEMO:
-                        memo.clear()
-                        new = {w for x in split for w in x}
-                    found, _ = vocabulary.counts([SPACE + w for w in new])
-                    memo.update((w[len(SPACE) :], n) for w, n in found.items())
-                counts = [[memo[w] for w in x] for x in split]
-                yield pd.DataFrame({"doc_id": rows["doc_id"], "n_words": [len(x) for x in counts], "n_tokens": [sum(x) for x in counts], "max_word_tokens": [max(x, default=0) for x in counts]})
+        vocabulary, memo, held = _worker(model_path)
+        for rows in slices(batches, PART_CHARS):
+            split = [_WORD.findall(x) for x in rows["text"]]
+            if held[0] > _MEMO_CHARS:
+                memo.clear()
+                held[0] = 0
+            new = {w for x in split for w in x if w not in memo}
+            if new:
+                found, _ = vocabulary.counts([SPACE + w for w in new])
+                memo.update((w[len(SPACE) :], n) for w, n in found.items())
+                held[0] += sum(map(len, new))
+            counts = [[memo[w] for w in x] for x in split]
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n_words": [len(x) for x in counts], "n_tokens": [sum(x) for x in counts], "max_word_tokens": [max(x, default=0) for x in counts]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, n_words long, n_tokens long, max_word_tokens long")

@@ -9,13 +9,14 @@ of buckets that are common or differ alone is counted, and both get parameters w
 of label 1 is beyond those of either alone and of both added. All others count as 0, so
 the length of a document does not drown its few telling terms.
 
-The model is fitted in numpy on a sample of at most about TRAIN_ROWS labelled documents of up to
-TRAIN_BYTES bytes each (both parameters); executors send hashed terms, not texts. Scoring reads
-every whole text in Arrow batches and shuffles nothing.
+The model is fitted in numpy on a sample of at most about TRAIN_ROWS labelled documents and TRAIN_BYTES
+bytes together (both parameters), whole texts of any length; executors send hashed terms, not texts.
+Scoring reads every whole text in Arrow batches and shuffles nothing.
 
 Defined results: null and empty texts have no terms and score the bias, sigmoid(w0). Without labels,
 or with one class only, every document scores the smoothed share of label 1. Repeated rows and ids
-score alike. A null id is never held out. Other columns are not read.
+score alike; of rows of one id, one is learnt from. A null id is never held out, nor learnt from. Other
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,41 +31,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import slices, table, tidy
 from driftline.llm.labelled import fold, sample
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 12_000
-TRAIN_BYTES = 1 << 16
+TRAIN_BYTES = 96 << 20
 RANK = 4
 #: Buckets with parameters, and the least evidence for one in standard deviations.
 FEATURES, EVIDENCE = 4_000, 3.0
 #: Share of the sample's documents from which a bucket's pairs are counted whatever its own label counts,
 #: the least evidence for a pair, and the buckets counted at once.
-COMMON, PAIR_EVIDENCE, COUNTED = 0.01, 6.5, 1000
+COMMON, PAIR_EVIDENCE, COUNTED = 0.01, 6.5, 400
 #: A word's first characters, so many, are terms too: inflected forms share them.
 BEGINNINGS = (4, 5)
 THRESHOLD = 0.3
 _EDGES = ".,;:!?\"'()[]{}|*#$%&<>-_/\\"
-_CACHE_WORDS = 300_000
+#: Characters of words that a worker remembers, and of text that it holds terms of at a time.
+_MEMO_CHARS, PART_CHARS = 4 << 20, 1 << 21
 
 
 class Terms:
-    """Hashed terms of texts, with a bounded memo of words."""
+    """Hashed terms of texts, with a memo of words of bounded size."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.chars = 0
 
     def of(self, text: str) -> np.ndarray:
         memo, found = self.memo, []
-        if len(memo) > _CACHE_WORDS:
+        if self.chars > _MEMO_CHARS:
             memo.clear()
+            self.chars = 0
         for word in set(text.lower().split()):
             buckets = memo.get(word)
             if buckets is None:
                 term = word.strip(_EDGES)
                 parts = (term, *("^" + term[:n] for n in BEGINNINGS if len(term) > n))
                 buckets = memo[word] = tuple(zlib.crc32(x.encode()) % BUCKETS for x in parts)
+                self.chars += len(word)
             found += buckets
         return np.unique(np.array(found, dtype=np.int32))
 
@@ -115,7 +120,8 @@ def _paired(docs: list[np.ndarray], y: np.ndarray, met: np.ndarray, n: np.ndarra
     at = np.full(BUCKETS, -1, np.int32)
     at[met] = np.arange(len(met))
     kept = [p[p >= 0] for p in (at[x] for x in docs)]
-    column, row = np.concatenate(kept), np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in kept])
+    small = np.uint16 if max(len(met), len(docs)) < 1 << 16 else np.int32
+    column, row = np.concatenate(kept).astype(small), np.repeat(np.arange(len(docs), dtype=small), [len(x) for x in kept])
     order = column.argsort(kind="stable")
     column, row = column[order], row[order]
     share, rates = y.mean(), ((ones + y.mean()) / (n + 1)).astype(np.float32)
@@ -176,16 +182,17 @@ def fit(docs: list[np.ndarray], y: np.ndarray, rank: int = RANK, epochs: int = 3
     return Machine(place, float(bias[0]), theta[:, 0], theta[:, 1:])
 
 
+@tidy
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     terms = Terms()
-    for batch in batches:
+    for batch in slices(batches, PART_CHARS):
         yield pd.DataFrame({"doc_id": batch["doc_id"], "terms": [terms.of(x).tobytes() for x in batch["text"]], "y": batch["y"]})
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Machine:
     """A machine for labels.<label>, learnt from the rows of labels for which `learn` holds."""
     learn = F.lit(True) if learn is None else learn
-    drawn = sample(docs, labels, label, learn, rows, longest).mapInPandas(_hashed, "doc_id long, terms binary, y int")
+    drawn = sample(docs, labels, label, learn, rows, most).mapInPandas(_hashed, "doc_id long, terms binary, y int")
     got = sorted((r["doc_id"], bytes(r["terms"]), r["y"]) for r in drawn.collect())
     return fit([np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for _, _, y in got]))
 
@@ -194,9 +201,10 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """doc_id, score for every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @tidy
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, machine = Terms(), model.value
-        for batch in batches:
+        for batch in slices(batches, PART_CHARS):
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": machine.scores([terms.of(x) for x in batch["text"]])})
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -207,9 +215,10 @@ def below(spark: SparkSession, machine: Machine, limit: float = THRESHOLD, text_
     """A function for mapInArrow that keeps the rows which score below the limit, untouched."""
     model = spark.sparkContext.broadcast(machine)
 
+    @tidy
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, machine = Terms(), model.value
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             scores = machine.scores([terms.of(x or "") for x in batch.column(text_col).to_pylist()])
             yield batch.filter(pa.array(scores < limit))
 

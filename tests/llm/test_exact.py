@@ -371,6 +371,39 @@ def test_permutation_is_a_bijection_and_blocks_fill(spark):
     assert all(set(r["text"].split()) <= {f"d{r['doc_id']}w{j}" for j in range(70)} for r in mixed)
 
 
+def test_the_mix_keeps_layout_and_columns(spark):
+    texts = {1: " line one\n\nline  two\tx\n", 2: "a " * 40 + "\n b", 3: "", 4: None, 5: "solo"}
+    docs = spark.createDataFrame([(i, t, "s", 99, "row", "spans") for i, t in texts.items()], "doc_id long, text string, source string, n_chars int, _row string, _spans string")
+    got = mixing.mixed_texts(docs, block=4).collect()
+    assert {r["_row"] for r in got} == {"row"}
+    assert {r["_spans"] for r in got} == {"spans"}
+    for r in got:
+        assert r["n_chars"] == len(r["text"])
+        assert len(r["text"].split()) > 0
+        assert r["text"] in (texts[r["doc_id"]], r["text"].lstrip())
+    # one source takes half of its words twice: a first pass over all texts as they are
+    assert {r["text"] for r in got} >= {t for t in texts.values() if (t or "").split()}
+    assert mixing.mixed_texts(docs.where("doc_id > 90")).count() == 0
+
+
+def test_shards_hold_the_mix(spark):
+    docs = written(spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(97)), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string"))
+    made = mixing.blocks(docs, block=8, shard_slots=100).collect()
+    mixed = mixing.mix(mixing.sizes(docs), block=8, shard_slots=100)
+    slots = {(r["shard"], r["_source"]): (r["n_slots"], r["n_words"]) for r in mixing.counts(mixed).collect()}
+    got = {}
+    for r in made:
+        assert r["n_words"] == len(r["text"].split()) <= 8
+        n = got.get(key := (r["shard"], "s:" + r["source"]), (0, 0))
+        got[key] = (n[0] + 1, n[1] + r["n_words"])
+    assert got == slots
+    assert len({k[0] for k in slots}) == 11
+    # every source's slots fall on the shards evenly but for chance: a chi-square of 10 degrees of freedom
+    for s in ("s:s0", "s:s1", "s:s2"):
+        n = [slots.get((k, s), (0, 0))[0] for k in range(11)]
+        assert sum((x - sum(n) / 11) ** 2 for x in n) / (sum(n) / 11) < 30
+
+
 def test_licences(spark):
     files = [
         (1, "p/LICENSE", "Released under the MIT License."),
