@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tomllib
@@ -36,6 +37,12 @@ class Options:
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     keep_sidecars: bool = True
+    dry_run: bool = False
+    backup: bool = False
+    backup_dir: str | None = None
+    backup_suffix: str = "~"
+    archive: bool = False
+    links: bool = False
 
     @property
     def window(self) -> int:
@@ -69,5 +76,27 @@ def load(path: str) -> Options:
 
 
 def merge(base: Options, **given) -> Options:
-    """base with the values given on a command line; empty patterns don't replace those of base."""
-    return replace(base, **{k: v for k, v in given.items() if not (k in ("include", "exclude") and not v)})
+    """base with the values given on a command line; empty patterns don't replace those of base. Sizes may
+    be given as delta_threshold_mb and block_size_kb; archive implies links."""
+    found = {k: v for k, v in given.items() if not (k in ("include", "exclude") and not v)}
+    if "delta_threshold_mb" in found:
+        found["delta_threshold"] = found.pop("delta_threshold_mb") * MIB
+    if "block_size_kb" in found:
+        found["block_size"] = block_size(found.pop("block_size_kb"))
+    if found.get("archive", base.archive):
+        found["links"] = True
+    return replace(base, **found)
+
+
+def save(options: Options, path: str) -> None:
+    """Options as a TOML file that load() reads; those that are not set are left out."""
+
+    def text(v) -> str:
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, tuple):
+            return f"[{', '.join(map(text, v))}]"
+        return json.dumps(v, ensure_ascii=False)
+
+    with open(path, "w") as f:
+        f.writelines(f"{x.name} = {text(v)}\n" for x in fields(Options) if (v := getattr(options, x.name)) is not None)

@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from driftline.config import KIB, MAX_BLOCK, MIN_BLOCK, SIDECAR
 
-# Storage providers, their aliases, regions and endpoint patterns ({r}: the region).
+# Storage providers, their aliases, regions and endpoint patterns ({r}: the region), in the
+# order of their names. A pattern without {r} is the reason why there is no endpoint.
 PROVIDERS: tuple[tuple[str, tuple[str, ...], tuple[str, ...], str], ...] = (
-    ("backblaze", ("backblaze", "b2"), ("us-west-001", "us-west-002", "us-west-004", "eu-central-003"), "https://s3.{r}.backblazeb2.com"),
-    ("digitalocean", ("digitalocean", "do"), ("nyc3", "ams3", "sgp1", "fra1", "sfo3", "syd1"), "https://{r}.digitaloceanspaces.com"),
-    ("hetzner", ("hetzner",), ("fsn1", "nbg1", "hel1"), "https://{r}.your-objectstorage.com"),
-    ("wasabi", ("wasabi",), ("us-east-1", "us-east-2", "us-west-1", "eu-central-1", "eu-west-1", "ap-northeast-1"), "https://s3.{r}.wasabisys.com"),
+    ("backblaze", ("backblaze", "b2"), ("us-west-000", "us-west-001", "us-west-002", "us-west-004", "eu-central-003"), "https://s3.{r}.backblazeb2.com"),
+    ("cloudflare", ("cloudflare", "r2"), ("auto",), "an account's own endpoint is needed"),
+    ("contabo", ("contabo",), ("eu", "us-central", "sin", "aus", "uk", "jpn"), "https://{r}.contabostorage.com"),
+    ("digitalocean", ("digitalocean", "do", "spaces"), ("nyc3", "sfo3", "ams3", "sgp1", "fra1", "syd1"), "https://{r}.digitaloceanspaces.com"),
+    ("exoscale", ("exoscale", "exo"), ("ch-gva-2", "ch-dk-2", "de-fra-1", "de-muc-1", "at-vie-1", "at-vie-2", "bg-sof-1"), "https://sos-{r}.exo.io"),
+    ("hetzner", ("hetzner", "htz"), ("fsn1", "nbg1", "hel1"), "https://{r}.your-objectstorage.com"),
+    ("idrive", ("idrive", "e2"), ("us-or", "us-va", "us-la", "us-phx", "us-dal", "eu-fra", "eu-lon", "eu-par", "ap-sin"), "https://{r}.e2.idrivesync.com"),
+    ("linode", ("linode", "akamai"), ("us-east-1", "us-southeast-1", "us-ord-1", "eu-central-1", "ap-south-1", "us-iad-1", "fr-par-1", "se-sto-1", "in-maa-1", "jp-osa-1", "it-mil-1", "us-lax-1", "us-mia-1", "id-cgk-1", "br-gru-1"), "https://{r}.linodeobjects.com"),
+    ("minio", ("minio",), (), "a server's own endpoint is needed"),
+    ("ovh", ("ovh", "ovhcloud"), ("gra", "sbg", "bhs", "de", "uk", "waw", "rbx-hdd", "rbx-ssd"), "https://s3.{r}.cloud.ovh.net"),
+    ("scaleway", ("scaleway", "scw"), ("fr-par", "nl-ams", "pl-waw"), "https://s3.{r}.scw.cloud"),
+    ("vultr", ("vultr",), ("ewr1", "ord1", "dfw1", "sea1", "lax1", "atl1", "ams1", "lhr1", "fra1", "sjc1", "syd1", "jnb1", "sgp1", "nrt1", "blr1", "del1"), "https://{r}.vultrobjects.com"),
+    ("wasabi", ("wasabi",), ("us-east-1", "us-east-2", "us-central-1", "us-west-1", "eu-central-1", "eu-central-2", "eu-west-1", "eu-west-2", "ap-northeast-1", "ap-northeast-2", "ap-southeast-1", "ap-southeast-2", "ca-central-1"), "https://s3.{r}.wasabisys.com"),
 )
 # Storage classes by name.
 STORAGE_CLASSES = ("STANDARD", "REDUCED_REDUNDANCY", "STANDARD_IA", "ONEZONE_IA", "INTELLIGENT_TIERING", "GLACIER", "DEEP_ARCHIVE", "GLACIER_IR", "OUTPOSTS", "SNOW", "EXPRESS_ONEZONE")
@@ -121,18 +131,21 @@ def supports_part_copy(scheme: Column) -> Column:
 
 
 def providers(spark: SparkSession) -> DataFrame:
-    """provider, alias, region, endpoint: one row per alias and region."""
-    rows = [(name, alias, region, url.format(r=region)) for name, aliases, regions, url in PROVIDERS for alias in aliases for region in regions]
+    """provider, alias, region, endpoint: one row per alias and region; endpoint is null where each
+    account or server has its own."""
+    rows = [(name, alias, region, url.format(r=region) if "{r}" in url else None) for name, aliases, regions, url in PROVIDERS for alias in aliases for region in regions]
     return spark.createDataFrame(rows, "provider string, alias string, region string, endpoint string")
 
 
 def endpoints(wanted: DataFrame) -> DataFrame:
     """provider and region of each wanted row with its endpoint, or the reason why there is none.
 
-    The provider table is a constant of a few dozen rows, so it is broadcast.
+    The provider tables are constants of some 150 rows, so they are broadcast.
     """
-    known = providers(wanted.sparkSession)
-    named = known.select(F.col("alias").alias("_alias")).distinct()
-    out = wanted.withColumn("_key", F.lower("provider")).join(F.broadcast(known.select(F.col("alias").alias("_key"), "region", "endpoint")), ["_key", "region"], "left").join(F.broadcast(named), F.col("_key") == F.col("_alias"), "left")
-    problem = F.when(F.col("_alias").isNull(), "unknown provider").when(F.col("endpoint").isNull(), "unknown region")
+    spark = wanted.sparkSession
+    known = providers(spark).select(F.col("alias").alias("_key"), "region", "endpoint", F.lit(True).alias("_there"))
+    reasons = [(alias, None if "{r}" in url else url, not regions) for _, aliases, regions, url in PROVIDERS for alias in aliases]
+    named = spark.createDataFrame(reasons, "_key string, _own string, _any boolean")
+    out = wanted.withColumn("_key", F.lower("provider")).join(F.broadcast(known), ["_key", "region"], "left").join(F.broadcast(named), "_key", "left")
+    problem = F.when(F.col("_any").isNull(), "unknown provider").when(F.col("_there").isNull() & ~F.col("_any"), "unknown region").otherwise(F.col("_own"))
     return out.select("provider", "region", "endpoint", problem.alias("problem"))

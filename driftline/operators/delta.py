@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.signature import rolling_all
+from driftline.operators.signature import rolling_parts
 from driftline.schema import OPS
 
 
@@ -19,19 +19,20 @@ def greedy(data: bytes, block: int, index: dict[int, dict[str, int]]) -> list[tu
     is copied and skipped, bytes between are inserted. index: rolling -> strong -> lowest block."""
     if len(data) < block:
         return [("insert", 0, None, len(data))]
-    sums = rolling_all(data, block)
-    known = np.fromiter(index, np.uint64, len(index))
+    known = np.fromiter(index, np.uint32, len(index))
     out, at, done = [], 0, 0
-    for place in np.flatnonzero(np.isin(sums, known)).tolist():
-        if place < at:
-            continue
-        hit = index[int(sums[place])].get(hashlib.sha256(data[place : place + block]).hexdigest())
-        if hit is None:
-            continue
-        if place > done:
-            out.append(("insert", done, None, place - done))
-        out.append(("copy", place, hit * block, block))
-        at = done = place + block
+    for begin, sums in rolling_parts(data, block):
+        for i in np.flatnonzero(np.isin(sums, known)).tolist():
+            place = begin + i
+            if place < at:
+                continue
+            hit = index[int(sums[i])].get(hashlib.sha256(data[place : place + block]).hexdigest())
+            if hit is None:
+                continue
+            if place > done:
+                out.append(("insert", done, None, place - done))
+            out.append(("copy", place, hit * block, block))
+            at = done = place + block
     if done < len(data):
         out.append(("insert", done, None, len(data) - done))
     return out
@@ -58,6 +59,11 @@ def delta(new: DataFrame, signature: DataFrame, block: int) -> DataFrame:
     return new.select("path", "content").join(whole, "path", "left").mapInPandas(run, OPS)
 
 
+def simple_delta(new: DataFrame, signature: DataFrame, block: int) -> DataFrame:
+    """The same ops but for an empty blob, which has none."""
+    return delta(new, signature, block).where("length > 0")
+
+
 def matches(new: DataFrame, signature: DataFrame, block: int) -> DataFrame:
     """The relational form of the match: path, place, block_index (lowest) of every window of a new
     blob that equals a whole block. One row a byte before the join: for small inputs and cross-checks."""
@@ -96,9 +102,10 @@ def download_ranges(local: DataFrame, remote_signature: DataFrame, block: int) -
             for path, data, table in zip(batch["path"], batch["content"], batch["blocks"], strict=True):
                 data = bytes(data) if data is not None else b""
                 places: dict[str, int] = {}
-                wanted = np.array(sorted({r["rolling"] for r in table if r["size"] == block}), np.uint64)
-                for place in np.flatnonzero(np.isin(rolling_all(data, block), wanted)).tolist():
-                    places.setdefault(hashlib.sha256(data[place : place + block]).hexdigest(), place)
+                wanted = np.array(sorted({r["rolling"] for r in table if r["size"] == block}), np.uint32)
+                for begin, sums in rolling_parts(data, block):
+                    for place in (np.flatnonzero(np.isin(sums, wanted)) + begin).tolist():
+                        places.setdefault(hashlib.sha256(data[place : place + block]).hexdigest(), place)
                 for r in sorted(table, key=lambda r: r["block_index"]):
                     place = places.get(r["strong"]) if r["size"] == block else None
                     if place is None and len(data) >= r["size"] and hashlib.sha256(data[len(data) - r["size"] :]).hexdigest() == r["strong"]:

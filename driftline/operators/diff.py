@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import SIDECAR, Options
+from driftline.functions.locations import backup_path
 
 _OWN = ("size", "mtime", "is_dir", "mode", "etag")
 
@@ -65,8 +66,6 @@ def diff(source: DataFrame, dest: DataFrame, o: Options | None = None) -> DataFr
     has, against the unfiltered source: a file that the limits leave out protects its copy.
     """
     o = o or Options()
-    if o.keep_sidecars:
-        dest = dest.where(~F.col("path").endswith(SIDECAR))
     if o.include or o.exclude:
         source, dest = source.where(selected(o)), dest.where(selected(o))
     there = dest.select("path", *(F.col(c).alias(f"d_{c}") for c in _OWN), F.lit(True).alias("d_there"))
@@ -79,10 +78,18 @@ def diff(source: DataFrame, dest: DataFrame, o: Options | None = None) -> DataFr
         rules = rules.when(stays, "skip").when(wants_delta(o), "delta").otherwise("upload")
     actions = source.where(within_limits(o)).join(there, "path", "left").withColumn("action", rules).where("action IS NOT NULL").select("path", *_OWN, "action")
     if o.delete:
+        if o.keep_sidecars:
+            dest = dest.where(~F.col("path").endswith(SIDECAR))
         actions = actions.unionByName(dest.join(source, "path", "left_anti").select("path", *_OWN, F.lit("delete").alias("action")))
     return actions
 
 
+def backups(actions: DataFrame, dest: DataFrame, directory: str | None = None, suffix: str = "~") -> DataFrame:
+    """path, backup of every file of the destination that an action overwrites or deletes."""
+    gone = actions.where(F.col("action").isin("upload", "download", "delta", "delete") & ~F.col("is_dir"))
+    return gone.join(dest.where(~F.col("is_dir")).select("path"), "path", "left_semi").select("path", backup_path(F.col("path"), directory, suffix).alias("backup"))
+
+
 def one_row_a_path(inventory: DataFrame) -> DataFrame:
     """The newest row of each path, for listings that may hold a path twice."""
     row = F.max_by(F.struct(*_OWN), F.struct(F.coalesce(_micros("mtime"), F.lit(-1)), "size", F.coalesce("etag", F.lit(""))))

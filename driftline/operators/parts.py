@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.config import FULL_PART, MIN_PART
+from driftline.schema import PARTS
 
 
 def merged(ops: DataFrame) -> DataFrame:
@@ -25,31 +26,58 @@ def packed(ops: DataFrame, least: int = MIN_PART) -> DataFrame:
     """Parts of each path's ops: copies of `least` bytes or more stay copies; the rest is uploaded in
     parts of that size at least, the last one apart. A copy's head fills up the bytes that wait.
 
-    The fold needs a path's ops in order; paths are the unit of parallel work.
+    A path's ops pass one task in order, which holds the bytes that wait and no list; paths are the unit
+    of parallel work.
     """
-    m = F.lit(least).cast("long")
-    kind = "array<struct<kind:string,source_offset:bigint,length:bigint>>"
-    state = f"struct<held:bigint,parts:{kind}>"
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast(kind).alias("parts")).cast(state)
-    part = lambda k, off, n: F.array(F.struct(F.lit(k).alias("kind"), off.cast("long").alias("source_offset"), n.cast("long").alias("length")))
-    none, nothing = F.array().cast(kind), F.lit(None)
-
-    def step(s: Column, x: Column) -> Column:
-        made = lambda held, new: F.struct(held.cast("long").alias("held"), F.concat(s["parts"], new).alias("parts")).cast(state)
-        held, n, off = s["held"], x["length"], x["source_offset"]
-        grown = held + n
-        insert = F.when(grown >= m, made(F.lit(0), part("upload", nothing, grown))).otherwise(made(grown, none))
-        need = F.when(held > 0, m - held).otherwise(F.lit(0))
-        filled = F.when(held > 0, part("upload", nothing, m)).otherwise(none)
-        rest = n - need
-        copy = F.when((held > 0) & (n < need), made(grown, none)).when(rest >= m, made(F.lit(0), F.concat(filled, part("copy", off + need, rest)))).otherwise(made(rest, filled))
-        return F.when(x["op"] == "insert", insert).otherwise(copy)
-
-    end = lambda s: F.when(s["held"] > 0, F.concat(s["parts"], part("upload", nothing, s["held"]))).otherwise(s["parts"])
-    rows = ops.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "source_offset", "length"))).alias("o"))
-    found = rows.select("path", F.posexplode(F.aggregate("o", start, step, end)).alias("i", "p")).select("path", (F.col("i") + 1).cast("int").alias("part_number"), "p.kind", "p.source_offset", "p.length")
-    before = F.sum("length").over(Window.partitionBy("path").orderBy("part_number").rowsBetween(Window.unboundedPreceding, -1))
-    return found.select("path", "part_number", "kind", "source_offset", F.coalesce(before, F.lit(0)).cast("long").alias("target_offset"), "length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, held, number, at = None, 0, 0, 0
+        for batch in batches:
+            out = []
+
+            def part(kind: str, source: int | None, n: int) -> None:
+                nonlocal number, at
+                number += 1
+                out.append((path, number, kind, source, at, n))  # noqa: B023
+                at += n
+
+            for this, op, source, n in zip(batch["path"], batch["op"], batch["source_offset"], batch["length"], strict=True):
+                if this != path:
+                    if held:
+                        part("upload", None, held)
+                    path, held, number, at = this, 0, 0, 0
+                if op == "insert":
+                    held += n
+                    if held >= least:
+                        part("upload", None, held)
+                        held = 0
+                    continue
+                need = least - held if held else 0
+                if held and n < need:
+                    held += n
+                    continue
+                if held:
+                    part("upload", None, least)
+                held, rest = 0, n - need
+                if rest >= least:
+                    part("copy", int(source) + need, rest)
+                else:
+                    held = rest
+            yield _parts(out)
+        if held:
+            yield _parts([(path, number + 1, "upload", None, at, held)])
+
+    rows = ops.select("path", "seq", "op", "source_offset", "length").repartition("path").sortWithinPartitions("path", "seq")
+    return rows.mapInPandas(run, PARTS)
+
+
+def _parts(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["path", "part_number", "kind", "source_offset", "target_offset", "length"]).astype({"source_offset": "Int64"})
+
+
+def meets_least(length: Column, least: int = MIN_PART) -> Column:
+    """Whether an op is large enough for a part of its own."""
+    return length >= least
 
 
 def split(ops: DataFrame, most: int) -> DataFrame:

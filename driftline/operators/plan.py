@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import DELTA_THRESHOLD, SMALL_FILE
 from driftline.schema import ACTIONS, RANK
+from driftline.scratch import written
 
 TRANSFERS = ("upload", "download", "delta")
 
@@ -33,13 +34,22 @@ def ordered(actions: DataFrame) -> DataFrame:
 
 
 def positions(actions: DataFrame) -> DataFrame:
-    """The plan with its place in each rank, and `implied` for deletes below a deleted directory."""
+    """The plan with its place in the plan's order, from 1, and `implied` for deletes below a deleted directory.
+
+    Rows are dealt by ranges of the order and written; a row's place is that in its range behind the sizes of
+    the ranges before, of which there are as many as partitions.
+    """
     plan = estimated(actions).withColumn("rank", rank(F.col("action")))
     gone = plan.where("action = 'delete' AND is_dir").select(F.concat("path", F.lit("/")).alias("_dir"))
     ups = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda i: F.concat(F.array_join(F.slice(F.split("path", "/"), 1, i), "/"), F.lit("/")))
     below = plan.where("action = 'delete' AND path LIKE '%/%'").select("path", F.explode(ups).alias("_dir")).join(gone, "_dir").select("path").distinct().withColumn("implied", F.lit(True))
     out = plan.join(below, "path", "left").withColumn("implied", F.coalesce("implied", F.lit(False)))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("rank", F.regexp_extract("path", "^[^/]*", 0)).orderBy("path")))
+    parts = int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = out.repartitionByRange(parts, "rank", "path").sortWithinPartitions("rank", "path").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    ranged = written(ranged)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn("place", (F.col("_start") + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_start")
 
 
 def counts(actions: DataFrame) -> DataFrame:
@@ -78,16 +88,26 @@ def scan_stats(source: DataFrame) -> DataFrame:
     return source.agg(F.count(F.lit(1)).alias("files_scanned"), F.count_if("is_dir").alias("dirs_scanned"), F.sum("size").cast("long").alias("bytes_scanned"))
 
 
-def execution_modes(actions: DataFrame, source_local: bool, dest_local: bool, dest_part_copy: bool, threshold: int = DELTA_THRESHOLD, small: int = SMALL_FILE) -> DataFrame:
-    """How each action would run, and whether the object needs a signature afterwards."""
-    kind = F.col("action")
+def execution_modes(actions: DataFrame, source_local: bool, dest_local: bool, dest_part_copy: bool, threshold: int = DELTA_THRESHOLD, small: int = SMALL_FILE, known: DataFrame | None = None) -> DataFrame:
+    """How each action would run, and whether the object needs a signature afterwards.
+
+    known (path, has_signature, beneficial, local_size): what is found out about the delta's files. A
+    delta without a signature on the other side, one that saves nothing, and one to a local file
+    that is not there or small are full transfers.
+    """
+    kind, pays = F.col("action"), F.lit(True)
+    if known is not None:
+        facts = known.select("path", "has_signature", "beneficial", "local_size")
+        actions = actions.join(facts, "path", "left")
+        pays = F.coalesce("has_signature", F.lit(False)) & (F.coalesce("beneficial", F.lit(False)) if source_local else F.coalesce(F.col("local_size") >= small, F.lit(False)))
     if source_local:
-        delta = "delta_upload" if dest_part_copy else "full_upload"
+        delta = F.when(pays & F.lit(dest_part_copy), "delta_upload").otherwise("full_upload")
     else:
-        delta = "delta_download" if dest_local else "full_transfer"
+        delta = F.when(pays, "delta_download").otherwise("full_download") if dest_local else F.lit("full_transfer")
     direct = F.lit("kernel_copy") if source_local and dest_local else F.when(F.col("size") < small, "memory").otherwise("put_file" if source_local else "stream")
     mode = F.when(kind == "delta", delta).when(kind.isin("upload", "download"), direct).otherwise(kind)
-    return actions.withColumns({"mode": mode, "needs_signature": kind.isin(*TRANSFERS) & ~F.col("is_dir") & (F.col("size") >= threshold)})
+    out = actions.withColumns({"mode": mode, "needs_signature": kind.isin(*TRANSFERS) & ~F.col("is_dir") & (F.col("size") >= threshold)})
+    return out if known is None else out.drop("has_signature", "beneficial", "local_size")
 
 
 def itemized(actions: DataFrame, dest: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +54,8 @@ def retry_schedule(failures: DataFrame, max_retries: int = 3, base_ms: int = 100
 
 
 def state_key(local: Column, remote: Column) -> Column:
-    return F.lower(F.lpad(F.hex(F.xxhash64(local, remote)), 16, "0"))
+    """16 hex digits of a hash of both paths."""
+    return F.substring(F.md5(F.concat(local, F.lit("\n"), remote).cast("binary")), 1, 16)
 
 
 def valid_states(states: DataFrame, local: DataFrame) -> DataFrame:
@@ -75,20 +79,28 @@ def token_bucket(requests: DataFrame, kib_per_second: int) -> DataFrame:
     """granted_at (seconds) of each request (stream, seq, at, bytes) of a stream under its rate.
 
     A bucket starts with one second of tokens and holds two; a request of more can never be granted
-    (null). The fold runs over each stream's requests in order: streams are the unit of parallel work.
+    (null). A stream's requests pass one task in order, which holds the bucket alone; streams are the unit
+    of parallel work.
     """
     rate = float(kib_per_second * 1024)
-    order = F.array_sort(F.collect_list(F.struct("seq", "at", "bytes")))
-    # state: time of the last grant, tokens then, grants so far
-    start = F.struct(F.lit(0.0).alias("t"), F.lit(rate).alias("left"), F.array().cast("array<struct<seq:bigint,granted_at:double>>").alias("out"))
-
-    def one(s: Column, r: Column) -> Column:
-        now = F.greatest(s["t"], r["at"].cast("double"))
-        have = F.least(s["left"] + (now - s["t"]) * rate, F.lit(2 * rate))
-        need = r["bytes"].cast("double")
-        wait = F.greatest(need - have, F.lit(0.0)) / rate
-        never = need > 2 * rate
-        grant = F.struct(r["seq"].cast("long").alias("seq"), F.when(~never, now + wait).alias("granted_at"))
-        return F.struct(F.when(never, s["t"]).otherwise(now + wait).alias("t"), F.when(never, s["left"]).otherwise(have + wait * rate - need).alias("left"), F.array_append(s["out"], grant).alias("out"))
-
-    return requests.groupBy("stream").agg(F.aggregate(order, start, one, lambda s: s["out"]).alias("g")).select("stream", F.inline("g"))
+    kind = requests.schema["stream"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, then, left = None, 0.0, rate
+        for batch in batches:
+            granted = []
+            for this, at, need in zip(batch["stream"], batch["at"].astype(float), batch["bytes"].astype(float), strict=True):
+                if this != stream:
+                    stream, then, left = this, 0.0, rate
+                if need > 2 * rate:
+                    granted.append(None)
+                    continue
+                now = max(then, at)
+                have = min(left + (now - then) * rate, 2 * rate)
+                wait = max(need - have, 0.0) / rate
+                then, left = now + wait, have + wait * rate - need
+                granted.append(then)
+            yield pd.DataFrame({"stream": batch["stream"], "seq": batch["seq"], "granted_at": pd.array(granted, "Float64")})
+
+    rows = requests.select("stream", F.col("seq").cast("long").alias("seq"), "at", "bytes").repartition("stream").sortWithinPartitions("stream", "seq", "at", "bytes")
+    return rows.mapInPandas(run, f"stream {kind}, seq long, granted_at double")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
+from driftline.config import SIDECAR
+from driftline.schema import SIGNATURE
+
 
 def rolling(data: bytes) -> int:
     """Sum of bytes in the low half, sum of its prefix sums in the high half, 16 bits each."""
@@ -21,14 +27,28 @@ def rolling(data: bytes) -> int:
 
 def rolling_all(data: bytes, n: int) -> np.ndarray:
     """The rolling checksum of every window of n bytes, from prefix sums."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    x = np.frombuffer(data, np.uint8)
     if n <= 0 or len(x) < n:
-        return np.empty(0, np.uint64)
-    sums = np.concatenate([[0], np.cumsum(x)]).astype(np.uint64)
-    deep = np.concatenate([[0], np.cumsum(sums[1:])]).astype(np.uint64)  # sums of prefix sums
+        return np.empty(0, np.uint32)
+    # all arithmetic is modulo 2^32, of which 16 bits count
+    sums, deep = np.zeros(len(x) + 1, np.uint32), np.zeros(len(x) + 1, np.uint32)
+    np.cumsum(x, dtype=np.uint32, out=sums[1:])
+    np.cumsum(sums[1:], dtype=np.uint32, out=deep[1:])  # sums of prefix sums
+    high = deep[n:] - deep[:-n]
+    high -= np.uint32(n & 0xFFFFFFFF) * sums[:-n]
+    high <<= np.uint32(16)
     low = sums[n:] - sums[:-n]
-    high = deep[n:] - deep[:-n] - np.uint64(n) * sums[:-n]
-    return (high & np.uint64(0xFFFF)) << np.uint64(16) | low & np.uint64(0xFFFF)
+    low &= np.uint32(0xFFFF)
+    high |= low
+    return high
+
+
+def rolling_parts(data: bytes, n: int, part: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the first, rolling checksums) of a blob's windows of n bytes, `part` of them at a time:
+    some 20 bytes of memory a byte of a part and a window."""
+    view = memoryview(data)
+    for at in range(0, max(len(data) - n + 1, 0), part):
+        yield at, rolling_all(view[at : at + part + n - 1], n)
 
 
 @pandas_udf(LongType())
@@ -73,7 +93,80 @@ def stale(source_etag: Column, now: Column) -> Column:
     return ~F.coalesce(source_etag == now, F.lit(False))
 
 
+# Fixed values of a signature file: its first bytes, version, and largest data.
+MAGIC, VERSION, MOST_DATA = b"DLSIG\x01", 1, 100 << 20
+_HEAD = len(MAGIC) + 1 + 8
+_BLOCK = np.dtype([("size", "<u4"), ("rolling", "<u4"), ("strong", "S32")])
+
+
+def pack(block: int, file_size: int, sizes: list[int], rollings: list[int], strongs: list[str]) -> bytes:
+    """A signature file: magic, version, length, then block and file size and the blocks, compressed."""
+    rows = np.array([(n, r, bytes.fromhex(h)) for n, r, h in zip(sizes, rollings, strongs, strict=True)], _BLOCK)
+    data = zstandard.compress(struct.pack("<QQQ", block, file_size, len(rows)) + rows.tobytes(), 3)
+    return MAGIC + bytes([VERSION]) + struct.pack("<Q", len(data)) + data
+
+
+def unpack(data: bytes) -> tuple[int, int, np.ndarray]:
+    """Block size, file size and blocks of a signature file; ValueError where it is none."""
+    if len(data) < _HEAD:
+        raise ValueError("too short")
+    if data[: len(MAGIC)] != MAGIC:
+        raise ValueError("bad magic")
+    if data[len(MAGIC)] != VERSION:
+        raise ValueError(f"version {data[len(MAGIC)]}")
+    size = struct.unpack_from("<Q", data, _HEAD - 8)[0]
+    if size > MOST_DATA:
+        raise ValueError("too large")
+    if len(data) < _HEAD + size:
+        raise ValueError("truncated")
+    try:
+        plain = zstandard.decompress(data[_HEAD : _HEAD + size])
+        block, file_size, n = struct.unpack_from("<QQQ", plain)
+        return block, file_size, np.frombuffer(plain, _BLOCK, n, 24)
+    except (zstandard.ZstdError, struct.error, ValueError) as e:
+        raise ValueError("not readable") from e
+
+
+def sidecars(blobs: DataFrame, size: int) -> DataFrame:
+    """path (of the sidecar), content: the signature file of every blob; a task holds one blob's blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                cut = [data[i : i + size] for i in range(0, len(data), size)]
+                out.append((path + SIDECAR, pack(size, len(data), [len(x) for x in cut], [rolling(x) for x in cut], [hashlib.sha256(x).hexdigest() for x in cut])))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return blobs.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def read_sidecars(files: DataFrame) -> DataFrame:
+    """Signature rows of signature files (path, content) by the path of their blob, and `problem`: a file
+    that is none is one row with the reason and no block."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                path = path.removesuffix(SIDECAR)
+                try:
+                    block, _, rows = unpack(bytes(data))
+                except ValueError as e:
+                    yield pd.DataFrame([(path, None, None, None, None, None, str(e))], columns=_READ)
+                    continue
+                at = np.arange(len(rows), dtype=np.int64)
+                if not len(rows):
+                    continue
+                yield pd.DataFrame({"path": path, "block_index": at, "offset": at * block, "size": rows["size"].astype(np.int32), "rolling": rows["rolling"].astype(np.int64), "strong": [bytes(x).ljust(32, b"\0").hex() for x in rows["strong"]], "problem": None})
+
+    return files.select("path", "content").mapInPandas(run, f"{SIGNATURE}, problem string")
+
+
+_READ = ["path", "block_index", "offset", "size", "rolling", "strong", "problem"]
+
+
 def write_signature(rows: DataFrame, path: str) -> None:
+    """Signature rows as a table; spark.read.parquet reads it back."""
     rows.write.option("compression", "zstd").parquet(path)
 
 
@@ -84,8 +177,8 @@ def window_checksums(blobs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             out = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                w = rolling_all(bytes(data), n)
-                out.append((path, len(w), int(w.sum()), int(w.min()) if len(w) else None, int(w.max()) if len(w) else None))
+                parts = [(len(w), int(w.sum(dtype=np.uint64)), int(w.min()), int(w.max())) for _, w in rolling_parts(bytes(data), n)]
+                out.append((path, sum(p[0] for p in parts), sum(p[1] for p in parts), min((p[2] for p in parts), default=None), max((p[3] for p in parts), default=None)))
             yield pd.DataFrame(out, columns=["path", "n_windows", "total", "low", "high"]).astype({"low": "Int64", "high": "Int64"})
 
     return blobs.select("path", "content").mapInPandas(run, "path string, n_windows long, total long, low long, high long")

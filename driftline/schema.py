@@ -11,4 +11,3 @@ RESUME = "local_path string, remote_path string, upload_id string, local_size lo
 ACTIONS = ("mkdir", "upload", "download", "delta", "skip", "delete")
 #: Order of actions in a plan.
 RANK = {"mkdir": 0, "upload": 1, "download": 1, "delta": 2, "skip": 3, "delete": 4}
-DIRECTIONS = ("push", "pull", "bidirectional")

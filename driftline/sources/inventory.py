@@ -1,25 +1,19 @@
-"""Inventories: listings of files as rows, from paths that Spark reads, find's output and directory trees."""
+"""Inventories: listings of files as rows, from paths that Spark reads and find's output; blobs in chunks and ranges."""
 
 from __future__ import annotations
 
-import os
-import stat
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from driftline.schema import INVENTORY
 
 
 def listed(spark: SparkSession, location: str) -> DataFrame:
     """Files under a location of any store that Spark reads. Contents aren't read; there are no rows
-    for directories nor, since Spark leaves them out of its scans, for empty files (tree() and
-    from_find() have both); mode and etag are null."""
+    for directories nor, since Spark leaves them out of its scans, for empty files and for names that
+    begin with _ or a dot, so it is no ground for deletes: stores.inventory() has all of them. mode and etag
+    are null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
-    root = location.rstrip("/")
-    inner = F.expr(f"substring(path, instr(path, '{root.split('://')[-1].lstrip('/')}') + {len(root.split('://')[-1].lstrip('/')) + 1})")
+    inner_root = location.rstrip("/").split("://")[-1].lstrip("/")
+    inner = F.substring("path", F.instr("path", F.lit(inner_root)) + F.lit(len(inner_root) + 1), F.length("path"))
     return files.select(inner.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(False).alias("is_dir"), F.lit(None).cast("int").alias("mode"), F.lit(None).cast("string").alias("etag"))
 
 
@@ -45,54 +39,6 @@ def from_find(spark: SparkSession, path: str, allow_empty: bool = False) -> Data
     return out
 
 
-class _Subtree(InputPartition):
-    def __init__(self, top: str, deep: bool) -> None:
-        self.top, self.deep = top, deep
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
-
-    def partitions(self) -> list[_Subtree]:
-        folders = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Subtree(self.root, False), *(_Subtree(x, True) for x in folders)]
-
-    def read(self, partition: _Subtree):
-        def row(path: str):
-            try:
-                s = os.lstat(path)
-            except OSError:
-                return None
-            folder = stat.S_ISDIR(s.st_mode)
-            return os.path.relpath(path, self.root), 0 if folder else s.st_size, datetime.fromtimestamp(s.st_mtime, timezone.utc).replace(tzinfo=None), folder, stat.S_IMODE(s.st_mode), None
-
-        if not partition.deep:
-            yield from filter(None, (row(e.path) for e in os.scandir(partition.top)))
-            return
-        for top, folders, files in os.walk(partition.top):
-            yield from filter(None, (row(os.path.join(top, x)) for x in [*folders, *files]))
-
-
-class DirectoryTree(DataSource):
-    """A tree that all executors see, with directories and modes: one partition per top-level folder."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "directory_tree"
-
-    def schema(self) -> str:
-        return INVENTORY
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"])
-
-
-def tree(spark: SparkSession, root: str) -> DataFrame:
-    spark.dataSource.register(DirectoryTree)
-    return spark.read.format("directory_tree").load(root)
-
-
 def chunks(blobs: DataFrame, size: int) -> DataFrame:
     """path, chunk_index, offset, data: a blob in chunks of `size` bytes; an empty one has none."""
     n = F.octet_length("content")
@@ -100,6 +46,11 @@ def chunks(blobs: DataFrame, size: int) -> DataFrame:
     return rows.select("path", F.col("i").cast("long").alias("chunk_index"), (F.col("i").cast("long") * size).alias("offset"), F.substring("content", F.col("i") * size + 1, F.lit(size)).alias("data"))
 
 
+def padded_range(content, start: int, size: int):
+    """`size` bytes from `start`; those beyond the end of the blob are 0."""
+    return F.rpad(F.substring(content, start + 1, size), size, F.lit(b"\0"))
+
+
 def byte_range(content, start: int, end: int):
     """Bytes start..end, both included, counted from 0; short at the end of the blob."""
     return F.substring(content, start + 1, end - start + 1)

@@ -12,6 +12,7 @@ from driftline.functions import text as X
 from driftline.operators import reliability as R
 from driftline.schema import INVENTORY
 from driftline.sources import inventory as I
+from driftline.sources import stores
 from driftline.streaming import watch
 
 SMALL = "/root/testdata/sf0.001"
@@ -63,7 +64,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "t/a.txt").write_bytes(b"abc")
     (tmp_path / "t/sub/b.txt").write_bytes(b"hello")
     (tmp_path / "t/sub/deep/c.txt").write_bytes(b"")
-    rows = {r["path"]: (r["size"], r["is_dir"]) for r in I.tree(spark, str(tmp_path / "t")).collect()}
+    rows = {r["path"]: (r["size"], r["is_dir"]) for r in stores.inventory(spark, str(tmp_path / "t")).collect()}
     assert rows == {"a.txt": (3, False), "sub": (0, True), "sub/b.txt": (5, False), "sub/deep": (0, True), "sub/deep/c.txt": (0, False)}
     assert {r["path"]: r["size"] for r in I.listed(spark, str(tmp_path / "t")).collect()} == {"a.txt": 3, "sub/b.txt": 5}
     (tmp_path / "find.txt").write_text("f\t12\t1700000000.5\t644\ta b\td\nd\t0\t0\t755\tx\nbad\nf\tz\t-1\t9\tq\nd\t1\t1\t755\t\n")

@@ -58,6 +58,7 @@ BIG, LESS = 100 * MIB, 99 * MIB
         ([("d", 0, {"is_dir": True})], [("d", 0, {"is_dir": True})], {}, {}),
         ([], [("d", 0, {"is_dir": True})], {"delete": True}, {"d": "delete"}),
         ([], [("a.blocksig", 3)], {"delete": True}, {}),
+        ([("a.blocksig", 3)], [("a.blocksig", 3)], {"delete": True}, {"a.blocksig": "skip"}),
         ([], [("a.blocksig", 3)], {"delete": True, "keep_sidecars": False}, {"a.blocksig": "delete"}),
         ([("x/a.txt", 1), ("x/a.md", 1)], [], {"exclude": ("**/*.md",)}, {"x/a.txt": "upload"}),
         ([("x/a.txt", 1), ("x/a.md", 1)], [], {"exclude": ("**",), "include": ("x/*.md",)}, {"x/a.md": "upload"}),
