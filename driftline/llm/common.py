@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import wraps
 
@@ -15,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.scratch import release, scratch_dir, written
+
+__all__ = ["WHITE", "let", "release", "scratch_dir", "shrink", "slices", "table", "tidy", "unused", "words", "written"]
+
 #: A word is a maximal run of characters other than these.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -45,58 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where it is unset on one machine
-    (tests) a temporary folder, which is then set on the context. A cluster has to name one."""
-    context = spark.sparkContext
-    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="driftline-")
-        context.setCheckpointDir(found)
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-#: Spark's setting by which a query's shuffle files go at its end.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended; the folder is scratch
-        return
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and a lost executor loses nothing.
-
-    The table goes when Python ends; release() drops it earlier. The shuffle files of the job go at its
-    end, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/driftline-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._driftline_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Drops a table made by written() of which nothing that is still to run depends."""
-    if path := getattr(df, "_driftline_path", None):
-        _delete(df.sparkSession, path)
-
-
 def tidy(run):
     """run (a function of iterators for mapInPandas or mapInArrow) that hands freed memory back to the
     system at its end: a worker is kept for later tasks, beside which it should be small."""

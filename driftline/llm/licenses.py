@@ -8,18 +8,20 @@ lengthen the unit. The best cosine of a line or block names a file's header lice
 makes it a licence file, whose licence holds for its directory and all below it. A file without a
 licence of its own takes that of its nearest ancestor directory that has one: the distinct
 directories are expanded to their ancestors, joined with the licensed ones by path, and the deepest
-match wins. Only files that mention a licence at all are cut into units, and units meet the templates
-by an equi-join on terms. The template table has some thousands of rows whatever the input, and alone is
+match wins. A unit is scored if it has a word by which a licence is stated (MENTION): common words alone can
+be close to a long licence text, but state none. Units meet the templates by an equi-join on terms. The template table has some thousands of rows whatever the input, and alone is
 broadcast. Only DataFrame functions are used.
 
 Defined results: a null text has no licence; a null path lies in the root directory; a unit scores by
-its best template (ties: the first name). Several licence files in one directory: the highest score,
+its best template (ties: the first name), whole texts of any length too. A null source or lang is a
+folder "_" of op1_licenses. Several licence files in one directory: the highest score,
 then the first path. Repeated rows give equal rows; an empty table gives an empty result. Columns
 other than the id, path and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -90,7 +92,8 @@ def _texts() -> tuple[tuple[str, str], ...]:
     return (*sorted(found.items()), *short)
 
 
-#: A file without any of these is cut no further.
+#: A statement of a licence has one of these: a line, block or file that has none states no licence, whatever
+#: its cosines. All templates have one.
 MENTION = r"(?i)licen[sc]e|spdx|copyright|permission|public domain|free software|\bCC[ -]?(?:BY|0)"
 HEADER, WHOLE = 0.7, 0.8
 #: What a comment line begins with.
@@ -112,13 +115,20 @@ def _model(templates: tuple[tuple[str, str], ...]) -> tuple[list[tuple[str, int,
     return rows, idf, 1 + math.log(1 + n)
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A constant table as one literal of the plan, so that no Python worker makes it."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    said = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in schema.split(', '))}>>")))
+
+
 def cosines(units: DataFrame) -> DataFrame:
     """_row, unit, licence, score: the best template of every unit (_row, unit, text) that has one."""
     spark = units.sparkSession
     models = [_model(x) for x in (TEMPLATES, HEADERS, _texts())]
-    weights = spark.createDataFrame([(k, *row) for k, (rows, _, _) in enumerate(models) for row in rows], "model int, licence string, template int, term string, weight double")
+    weights = _rows(spark, [(k, *row) for k, (rows, _, _) in enumerate(models) for row in rows], "model int, licence string, template int, term string, weight double")
     every = sorted({t for _, idf, _ in models for t in idf})
-    known = spark.createDataFrame([(t, [idf.get(t, other) for _, idf, other in models]) for t in every], "term string, idfs array<double>")
+    known = _rows(spark, [(t, [idf.get(t, other) for _, idf, other in models]) for t in every], "term string, idfs array<double>")
     others = F.array(*(F.lit(other) for _, _, other in models))
     terms = units.select("_row", "unit", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_TERM})"), F.lit(1))).alias("term")).groupBy("_row", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = terms.join(F.broadcast(known), "term", "left")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import slices, table, tidy
+from driftline.llm.common import shrink, slices, table, tidy
 from driftline.llm.labelled import fold, sample
 
 BUCKETS = 1 << 18
@@ -193,8 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None,
     """A machine for labels.<label>, learnt from the rows of labels for which `learn` holds."""
     learn = F.lit(True) if learn is None else learn
     drawn = sample(docs, labels, label, learn, rows, most).mapInPandas(_hashed, "doc_id long, terms binary, y int")
-    got = sorted((r["doc_id"], bytes(r["terms"]), r["y"]) for r in drawn.collect())
-    return fit([np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for _, _, y in got]))
+    got = sorted(((r["doc_id"], np.frombuffer(r["terms"], np.int32), r["y"]) for r in drawn.collect()), key=lambda r: r[0])
+    machine = fit([x for _, x, _ in got], np.array([y for _, _, y in got]))
+    del got
+    shrink()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,5 +57,6 @@ def quality(text):
     w = words(text)
     lines = [x for x in (text or "").split("\n") if words(x)]
     tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    hit = {j for i, t in enumerate(tri) if tri.count(t) > 1 for j in range(i, i + 3)}
+    times = Counter(tri)
+    hit = {j for i, t in enumerate(tri) if times[t] > 1 for j in range(i, i + 3)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)

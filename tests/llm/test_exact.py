@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import plain
@@ -178,7 +179,6 @@ def test_components_of_one_size_meet_in_a_bucket(spark):
 
 @pytest.mark.parametrize("rows", [corpus(9), EMPTY], ids=["corpus", "empty"])
 def test_quality_rules(spark, table_of, rows):
-    rows = [(i, t) for i, t in rows if i != 8]
     found = {r["doc_id"]: r for r in quality_rules.op6_quality_rules(spark, table_of(rows)).collect()}
     assert {i: tuple(r)[1:6] for i, r in found.items()} == {i: (q[0], q[1], q[2], q[3], q[4]) for i, q in ((i, plain.quality(t)) for i, t in rows)}
     for r in found.values():
@@ -210,6 +210,30 @@ def test_fingerprints(spark, table_of, rows):
         assert 0 <= r["near_next"] <= 1
 
 
+def test_fingerprints_are_the_plain_sketches(spark):
+    texts = [t for _, t in corpus(13)] + ["a b", "solo"]
+    rows = list(enumerate(texts)) + [(7, "again seven"), (None, "nobody's text here"), (None, "a second one")]
+    shingled = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [(" ".join(w),)] if w else []
+    sets = [(k, s) for k, (_, t) in enumerate(rows) for s in set(shingled(plain.words(t)))]
+    F = fingerprints.F
+    hashed = {}
+    for n in (1, 3):
+        part = spark.createDataFrame([(k, *s) for k, s in sets if len(s) == n], "k int, " + ", ".join(f"w{i} string" for i in range(n)))
+        for r in part.select("k", F.xxhash64(*(f"w{i}" for i in range(n))).alias("h")).collect():
+            hashed.setdefault(r["k"], set()).add(r["h"])
+    want = {}
+    for k in range(len(rows)):
+        low = sorted(h for h in hashed.get(k, ()) if h < fingerprints._BOUND)
+        want[k] = low if len(low) >= fingerprints.FEW else sorted(hashed.get(k, ()))[: fingerprints.FEW]
+    made = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k int, text string").select("k", fingerprints.sketch(F.col("text")).alias("s"))
+    assert {r["k"]: r["s"] for r in made.collect()} == want
+    # rows of one id follow by text, null ids come last
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.followed(docs.withColumn("text", F.coalesce("text", F.lit("")))).collect()]
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert sorted(got, key=repr) == sorted(((i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order)), key=repr)
+
+
 def test_fingerprints_merge_and_contain(spark):
     F = fingerprints.F
     long = " ".join(f"w{i}" for i in range(3000))
@@ -460,6 +484,42 @@ def test_headers_of_several_lines_and_tags(spark):
     assert found == {i: name for i, (name, _) in enumerate(headers)}
 
 
+def plain_cosine(text, templates):
+    """The best (cosine, licence) of a text among templates, by plain TF-IDF."""
+    import math
+    import re
+    from collections import Counter
+
+    counts = [Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())) for _, t in templates]
+    idf = lambda t: 1 + math.log((1 + len(counts)) / (1 + sum(t in c for c in counts)))
+    vector = lambda c: {t: n * idf(t) for t, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own = vector(Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())))
+    return max(((round(sum(own.get(t, 0) * x for t, x in v.items()) / (norm(own) * norm(v)), 6), name) for (name, _), v in zip(templates, map(vector, counts), strict=True)), key=lambda r: r[0])
+
+
+def test_cosines_are_the_plain_ones(spark):
+    models = (licenses.TEMPLATES, licenses.HEADERS, licenses._texts())
+    assert all(re.search(licenses.MENTION.removeprefix("(?i)"), t, re.IGNORECASE) for m in models for _, t in m)
+    rng, rows = random.Random(4), []
+    for i, (_, text) in enumerate(t for m in models for t in m):
+        w = text.split()
+        rows.append((i, 0, " ".join(x for x in w if rng.random() < 0.9) + " and some more words" * rng.randrange(4)))
+    rows.append((10**6, 0, "license " * 20_000))
+    found = {r["_row"]: (r["score"], r["licence"]) for r in licenses.cosines(spark.createDataFrame(rows, "_row long, unit int, text string")).collect()}
+    for i, _, text in rows:
+        best = max((plain_cosine(text, m) for m in models), key=lambda r: r[0])
+        assert abs(found[i][0] - best[0]) < 2e-6
+        assert found[i][1] in {n for m in models for n, t in m if abs(plain_cosine(text, [x for x in m])[0] - best[0]) < 2e-6 or n == best[1]}
+
+
+def test_licences_of_odd_rows(spark, table_of):
+    rows = [(1, "Released under the MIT License.", None), (1, "Released under the MIT License.", None), (2, "word " * 30_000 + "\n// SPDX-License-Identifier: ISC\n", "s"), (None, "Licensed under CC BY 4.0.", "s"), (3, None, "s"), (4, "", "s")]
+    got = sorted((r["doc_id"] or 0, r["path"], r["licence"]) for r in licenses.op1_licenses(spark, table_of(rows)).collect())
+    # a text that is nothing but a notice is a licence file of its folder
+    assert got == [(0, "s/en/_.txt", "CC-BY-4.0"), (1, "_/en/1.txt", "MIT"), (1, "_/en/1.txt", "MIT"), (2, "s/en/2.txt", "ISC"), (3, "s/en/3.txt", "CC-BY-4.0"), (4, "s/en/4.txt", "CC-BY-4.0")]
+
+
 def test_licences_of_documents(spark, table_of):
     notices = {name: text for name, text in licenses.TEMPLATES}
     rows = [(i, f"first line\n{text}\nlast line") for i, text in enumerate(notices.values())] + [(90, None), (91, "")]
