@@ -267,7 +267,7 @@ CATALOG: dict[str, tuple] = {
     "provider_endpoints": (provider_endpoints, f"WITH w AS (SELECT {_pick(0)} AS provider, {_pick(1)} AS region FROM supplier), u AS (SELECT provider, region, CASE lower(provider) WHEN 'htz' THEN 'https://' || region || '.your-objectstorage.com' WHEN 'spaces' THEN 'https://' || region || '.digitaloceanspaces.com' WHEN 'b2' THEN 'https://s3.' || region || '.backblazeb2.com' WHEN 'wasabi' THEN 'https://s3.' || region || '.wasabisys.com' WHEN 'vultr' THEN 'https://' || region || '.vultrobjects.com' WHEN 'akamai' THEN 'https://' || region || '.linodeobjects.com' WHEN 'scw' THEN 'https://s3.' || region || '.scw.cloud' WHEN 'ovhcloud' THEN 'https://s3.' || region || '.cloud.ovh.net' WHEN 'exo' THEN 'https://sos-' || region || '.exo.io' WHEN 'e2' THEN 'https://' || region || '.e2.idrivesync.com' WHEN 'contabo' THEN 'https://' || region || '.contabostorage.com' END AS endpoint, CASE WHEN provider = 'nobody' THEN 'unknown provider' WHEN region IN ('invalid', 'us-east-1') THEN 'unknown region' WHEN lower(provider) = 'r2' THEN 'an account''s own endpoint is needed' WHEN provider = 'minio' THEN 'a server''s own endpoint is needed' END AS problem FROM w) SELECT *, count(*) AS n FROM u GROUP BY ALL"),
     "small_texts": (small_texts, "SELECT o_orderkey, base64(encode('block-' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0'))) AS block_id, CASE o_orderkey % 4 WHEN 0 THEN 'GLACIER' WHEN 1 THEN 'STANDARD_IA' ELSE 'STANDARD' END AS storage_class, '''' || replace(o_orderpriority || '''s', '''', '''\\''''') || '''' AS quoted FROM orders"),
     "conflicts": (conflicts, f"WITH {X.SQL}, x AS (SELECT coalesce(s.path, d.path) AS path, CASE WHEN s.path IS NULL THEN 'remote_created' WHEN d.path IS NULL THEN 'remote_deleted' WHEN coalesce(s.etag <> d.etag, false) OR s.size <> d.size THEN 'remote_modified' ELSE 'none' END AS conflict, coalesce(s.etag <> d.etag, false) AS t, s.etag AS se, d.etag AS de, s.size AS ss, d.size AS ds FROM s FULL JOIN d ON s.path = d.path) SELECT path, conflict, CASE WHEN conflict = 'remote_modified' THEN CASE WHEN t THEN se ELSE 'size:' || ss END END AS was, CASE WHEN conflict = 'remote_modified' THEN CASE WHEN t THEN de ELSE 'size:' || ds END END AS now, CASE WHEN conflict = 'none' THEN 'proceed' ELSE CASE length(path) % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'proceed' WHEN 2 THEN 'skip' ELSE 'retry' END END AS action FROM x"),
-    "retryable_errors": (lambda s, d: _failures(s, d).withColumn("retryable", R.retryable(F.col("kind"), F.col("message"))), f"WITH {FAILURES} SELECT id, kind, message, retryable FROM r"),
+    "retryable_errors": (lambda s, d: _failures(s, d).withColumns({"retryable": R.retryable(F.col("kind"), F.col("message")), "by_kind": R.retryable_kind(F.col("kind"))}), f"WITH {FAILURES} SELECT id, kind, message, retryable, kind IN ('network', 'multipart_upload') AS by_kind FROM r"),
     "retry_schedule": (lambda s, d: R.retry_schedule(_failures(s, d), 7), f"WITH {FAILURES}, t AS (SELECT id, CAST(unnest(range(0, 7)) AS INTEGER) AS attempt FROM r WHERE retryable), y AS (SELECT id, attempt, CAST(least(1000 * pow(2, attempt), 30000) AS BIGINT) AS delay_ms FROM t) SELECT id, attempt, delay_ms, CAST(sum(delay_ms) OVER (PARTITION BY id ORDER BY attempt) AS BIGINT) AS starts_at_ms FROM y"),
     "signature_blocks": (lambda s, d: S.signature(X.blobs(s, d, "old"), BLOCK).drop("rolling").withColumnRenamed("offset", "block_offset"), f"WITH {X.SQL}, {SIG} SELECT path, block_index, block_offset, CAST(octet_length(data) AS INTEGER) AS size, sha256(data) AS strong FROM g"),
     "signature_headers": (lambda s, d: S.headers(X.blobs(s, d, "old"), BLOCK), f"WITH {X.SQL}, {SIG} SELECT path, CAST(octet_length(c) AS BIGINT) AS file_size, CASE WHEN octet_length(c) > 0 THEN substr(sha256(c), 1, 32) END AS source_etag, CAST((octet_length(c) + 255) // 256 AS BIGINT) AS n_blocks FROM c"),

@@ -10,30 +10,44 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators.signature import rolling_parts
+from driftline.config import MIN_BLOCK
+from driftline.operators.signature import rolling, rolling_all, rolling_parts
 from driftline.schema import OPS
 
 
-def greedy(data: bytes, block: int, index: dict[int, dict[str, int]]) -> list[tuple[str, int, int | None, int]]:
+def greedy(data: bytes, block: int, index: dict[int, dict[str, int]], part: int = 1 << 20) -> list[tuple[str, int, int | None, int]]:
     """(op, target offset, source offset, length): left to right, a window that equals a whole block
-    is copied and skipped, bytes between are inserted. index: rolling -> strong -> lowest block."""
-    if len(data) < block:
-        return [("insert", 0, None, len(data))]
-    known = np.fromiter(index, np.uint32, len(index))
-    out, at, done = [], 0, 0
-    for begin, sums in rolling_parts(data, block):
-        for i in np.flatnonzero(np.isin(sums, known)).tolist():
-            place = begin + i
-            if place < at:
-                continue
-            hit = index[int(sums[i])].get(hashlib.sha256(data[place : place + block]).hexdigest())
+    is copied and skipped, bytes between are inserted. index: rolling -> strong -> lowest block.
+
+    Checksums are made for `part` windows at a time; with large blocks, none are where one block follows another.
+    """
+    known, view = np.fromiter(index, np.uint32, len(index)), memoryview(data)
+    out, at, done, begin, sums, places = [], 0, 0, 0, np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def match(checksum: int, place: int) -> int | None:
+        strongs = index.get(checksum)
+        return strongs.get(hashlib.sha256(view[place : place + block]).hexdigest()) if strongs else None
+
+    while at + block <= len(data):
+        place, hit = at, None
+        if not begin <= at < begin + len(sums):
+            hit = match(rolling(view[at : at + block]), at) if block >= MIN_BLOCK else None
             if hit is None:
+                begin, sums = at, rolling_all(view[at : at + part + block - 1], block)
+                places = np.flatnonzero(np.isin(sums, known)) + begin
+        if hit is None:
+            for i in range(int(np.searchsorted(places, at)), len(places)):
+                place = int(places[i])
+                if (hit := match(int(sums[place - begin]), place)) is not None:
+                    break
+            else:
+                at = begin + len(sums)
                 continue
-            if place > done:
-                out.append(("insert", done, None, place - done))
-            out.append(("copy", place, hit * block, block))
-            at = done = place + block
-    if done < len(data):
+        if place > done:
+            out.append(("insert", done, None, place - done))
+        out.append(("copy", place, hit * block, block))
+        at = done = place + block
+    if done < len(data) or not data:
         out.append(("insert", done, None, len(data) - done))
     return out
 

@@ -41,6 +41,11 @@ def retryable(kind: Column, message: Column) -> Column:
     return F.coalesce(kind.isin("network", "multipart_upload") | ((kind == "aws") & hint(SERVICE_HINTS)) | ((kind == "io") & hint(IO_HINTS)), F.lit(False))
 
 
+def retryable_kind(kind: Column) -> Column:
+    """The narrower rule, by the kind of an error alone."""
+    return F.coalesce(kind.isin("network", "multipart_upload"), F.lit(False))
+
+
 def backoff(attempt: Column, base_ms: int = 1000, max_ms: int = 30_000) -> Column:
     """Delay before a further attempt in ms, without jitter."""
     return F.least(F.lit(float(base_ms)) * F.pow(F.lit(2.0), attempt), F.lit(float(max_ms))).cast("long")

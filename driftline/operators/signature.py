@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from driftline.schema import SIGNATURE
 
 def rolling(data: bytes) -> int:
     """Sum of bytes in the low half, sum of its prefix sums in the high half, 16 bits each."""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
-    low, high = int(x.sum()), int((x * np.arange(len(x), 0, -1, dtype=np.uint64)).sum())
-    return (high & 0xFFFF) << 16 | low & 0xFFFF
+    if not len(data):
+        return 0
+    sums = np.cumsum(np.frombuffer(data, np.uint8), dtype=np.uint32)  # modulo 2^32, of which 16 bits count
+    return int(sums.sum(dtype=np.uint32) & 0xFFFF) << 16 | int(sums[-1] & 0xFFFF)
 
 
 def rolling_all(data: bytes, n: int) -> np.ndarray:
@@ -56,6 +58,12 @@ def rolling_checksum(data: pd.Series) -> pd.Series:
     return data.map(lambda x: rolling(bytes(x)))
 
 
+@pandas_udf(LongType())
+def quick_hash(data: pd.Series) -> pd.Series:
+    """XXH3 of 64 bits, as a long: tells most different blocks apart before their strong hashes are compared."""
+    return data.map(lambda x: int(np.uint64(xxhash.xxh3_64_intdigest(bytes(x))).astype(np.int64)))
+
+
 def rolling_checksum_sql(data: Column) -> Column:
     """The same by a fold over the bytes, in the JVM; for short values and cross-checks."""
     at = F.sequence(F.lit(1), F.octet_length(data))
@@ -73,10 +81,11 @@ def blocks(blobs: DataFrame, size: int) -> DataFrame:
     return rows.select("path", F.col("i").cast("long").alias("block_index"), (F.col("i").cast("long") * size).alias("offset"), F.octet_length(data).alias("size"), data.alias("data"))
 
 
-def signature(blobs: DataFrame, size: int) -> DataFrame:
-    """The signature rows of every blob. The strong hash is SHA-256."""
+def signature(blobs: DataFrame, size: int, quick: bool = False) -> DataFrame:
+    """The signature rows of every blob, if asked for with a quick hash. The strong hash is SHA-256."""
     cut = blocks(blobs, size)
-    return cut.select("path", "block_index", "offset", "size", rolling_checksum("data").alias("rolling"), F.sha2("data", 256).alias("strong"))
+    more = [quick_hash("data").alias("quick_hash")] if quick else []
+    return cut.select("path", "block_index", "offset", "size", rolling_checksum("data").alias("rolling"), *more, F.sha2("data", 256).alias("strong"))
 
 
 def etag(content: Column) -> Column:

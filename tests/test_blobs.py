@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from driftline.operators import delta as D
 from driftline.operators import parts as P
@@ -53,6 +54,11 @@ def test_blocks_and_headers(spark):
     assert same.where("x <> y").count() == 0
 
 
+def test_quick_hashes(spark):
+    rows = S.signature(blobs(spark, a=b"hello world, this is a test"), 10, quick=True).orderBy("block_index").collect()
+    assert [r["quick_hash"] % 2**64 for r in rows] == [xxhash.xxh3_64_intdigest(b"hello world, this is a test"[i : i + 10]) for i in (0, 10, 20)]
+
+
 @pytest.fixture(scope="module")
 def pair(spark):
     rng = random.Random(11)
