@@ -10,7 +10,7 @@ with fewer than FEW; two are compared over the range that both cover. Only DataF
 Defined results: null counts as empty; a text without words has the empty fingerprint, which is like
 another empty one (1) and unlike all others (0); one or two words are one shingle. Equal texts have
 equal fingerprints. In descending order of ids a null id is the last, and rows with one id follow by
-text. A table of one row is followed by itself; an empty table gives an empty result. Other columns
+a hash of their texts, then by text. A table of one row is followed by itself; an empty table gives an empty result. Other columns
 are not read.
 """
 
@@ -26,6 +26,8 @@ from driftline.llm.common import let, table, words
 SHINGLE = 3
 SHARE = 1 / 8
 FEW = 8
+#: Sampled places of rows to a cut.
+FOURTH = 4
 _BOUND = -(1 << 63) + int(SHARE * (1 << 64))
 _NONE = -(1 << 63)
 
@@ -89,36 +91,41 @@ def printed(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def followed(docs: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Every row with next_<column> of the row that follows it in descending order of ids; the first
-    follows the last.
+def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("text",)) -> DataFrame:
+    """Every row with next_<column> of the row that follows it in descending order of ids, rows of one id
+    in descending order of a hash of their texts, then by text; the first follows the last.
 
-    Ids are cut at about sqrt(rows) of their quantiles, which are ids themselves. A row whose id is
-    a cut, the largest of its group, is also placed behind the group above, so each group finds its
-    last row's successor within, and one shuffle by group does it. Only the cuts reach the driver.
+    Rows are cut at about sqrt(rows) of their places (id, hash), which are places of rows: every FOURTH of a
+    sample that a hash draws. A row whose place is a cut, the largest of its group, is also put behind the
+    group above, so each group finds its last row's successor within, and one shuffle by group does it.
+    An id of a third of all rows falls into many groups. Only the sample's places reach the driver.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
+    key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    place = F.struct(key.alias("k"), mark.alias("h"))
     count = docs.count()
-    groups = max(1, int(math.sqrt(count)))
-    shares = [i / groups for i in range(1, groups)] or [0.5]
-    found = docs.select(key.alias("k")).agg(F.max("k").alias("top"), F.percentile_approx("k", shares, 4 * groups).alias("cuts")).first()
     if count == 0:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in carry))
-    cuts = sorted({*found["cuts"], found["top"]})
-    last, bounds = len(cuts) - 1, F.lit(cuts)
-    # the number of cuts below the key, by halving
+    places = docs.select(place.alias("p"))
+    step = max(1, count // (FOURTH * max(1, math.isqrt(count))))
+    drawn = sorted((r["p"]["k"], r["p"]["h"]) for r in places.where(F.pmod(F.xxhash64("p.k", "p.h"), F.lit(step)) == 0).distinct().collect())
+    top = places.agg(F.max("p").alias("top")).first()["top"]
+    cuts = sorted({*drawn[FOURTH - 1 :: FOURTH], (top["k"], top["h"])})
+    last = len(cuts) - 1
+    bounds = F.arrays_zip(F.lit([k for k, _ in cuts]).alias("k"), F.lit([h for _, h in cuts]).alias("h"))
+    # the number of cuts below the place, by halving
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
     halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(
-        F.get(bounds, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < F.col("_key"), F.struct((F.floor((s["lo"] + s["hi"]) / 2) + 1).cast("int").alias("lo"), s["hi"].alias("hi"))
-    ).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
+        F.get(bounds, middle(s)) < F.col("_place"), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))
+    ).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
     start = F.struct(F.lit(0).alias("lo"), F.lit(last).alias("hi"))
-    rows = docs.withColumn("_key", key).withColumn("_group", F.aggregate(F.sequence(F.lit(0), F.lit(last.bit_length() + 1)), start, halve, lambda s: s["lo"]))
+    rows = docs.withColumn("_place", place).withColumn("_group", F.aggregate(F.sequence(F.lit(0), F.lit(last.bit_length() + 1)), start, halve, lambda s: s["lo"]))
     own = F.struct(F.col("_group").alias("group"), F.lit(False).alias("guest"), F.lit(0).alias("turn"))
     above = F.when(F.col("_group") == last, 0).otherwise(F.col("_group") + 1)
     guest = F.struct(above.cast("int").alias("group"), F.lit(True).alias("guest"), F.when(F.col("_group") == last, 1).otherwise(0).alias("turn"))
-    placed = rows.withColumn("_at", F.explode(F.when(F.get(bounds, F.col("_group")) == F.col("_key"), F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("_at.group").orderBy("_at.turn", F.col("_key").desc(), "_at.guest", carry[0])
+    placed = rows.withColumn("_at", F.explode(F.when(F.get(bounds, F.col("_group")) == F.col("_place"), F.array(own, guest)).otherwise(F.array(own))))
+    order = Window.partitionBy("_at.group").orderBy("_at.turn", F.col("_place").desc(), "_at.guest", text_col)
     placed = placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).where("NOT _at.guest")
-    return placed.drop("_key", "_group", "_at")
+    return placed.drop("_place", "_group", "_at")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

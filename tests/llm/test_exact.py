@@ -227,10 +227,12 @@ def test_fingerprints_are_the_plain_sketches(spark):
         want[k] = low if len(low) >= fingerprints.FEW else sorted(hashed.get(k, ()))[: fingerprints.FEW]
     made = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "k int, text string").select("k", fingerprints.sketch(F.col("text")).alias("s"))
     assert {r["k"]: r["s"] for r in made.collect()} == want
-    # rows of one id follow by text, null ids come last
+    # rows of one id follow by a hash of their texts, null ids come last
+    rows += [(500, f"hot {n % 90}") for n in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r["doc_id"], r["text"], r["next_text"]) for r in fingerprints.followed(docs.withColumn("text", F.coalesce("text", F.lit("")))).collect()]
-    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    marks = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -marks[r[1]], r[1]))
     assert sorted(got, key=repr) == sorted(((i, t, order[(n + 1) % len(order)][1]) for n, (i, t) in enumerate(order)), key=repr)
 
 
