@@ -111,18 +111,20 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     top = places.agg(F.max("p").alias("top")).first()["top"]
     cuts = sorted({*drawn[FOURTH - 1 :: FOURTH], (top["k"], top["h"])})
     last = len(cuts) - 1
-    bounds = F.arrays_zip(F.lit([k for k, _ in cuts]).alias("k"), F.lit([h for _, h in cuts]).alias("h"))
+    # two literals, not one array of structs, which would be made anew for every row
+    ids, marks = F.lit([k for k, _ in cuts]), F.lit([h for _, h in cuts])
+    below = lambda i: (F.get(ids, i) < F.col("_place.k")) | ((F.get(ids, i) == F.col("_place.k")) & (F.get(marks, i) < F.col("_place.h")))
     # the number of cuts below the place, by halving
     middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
     halve = lambda s, _: F.when(s["lo"] >= s["hi"], s).when(
-        F.get(bounds, middle(s)) < F.col("_place"), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))
+        below(middle(s)), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))
     ).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
     start = F.struct(F.lit(0).alias("lo"), F.lit(last).alias("hi"))
     rows = docs.withColumn("_place", place).withColumn("_group", F.aggregate(F.sequence(F.lit(0), F.lit(last.bit_length() + 1)), start, halve, lambda s: s["lo"]))
     own = F.struct(F.col("_group").alias("group"), F.lit(False).alias("guest"), F.lit(0).alias("turn"))
     above = F.when(F.col("_group") == last, 0).otherwise(F.col("_group") + 1)
     guest = F.struct(above.cast("int").alias("group"), F.lit(True).alias("guest"), F.when(F.col("_group") == last, 1).otherwise(0).alias("turn"))
-    placed = rows.withColumn("_at", F.explode(F.when(F.get(bounds, F.col("_group")) == F.col("_place"), F.array(own, guest)).otherwise(F.array(own))))
+    placed = rows.withColumn("_at", F.explode(F.when((F.get(ids, F.col("_group")) == F.col("_place.k")) & (F.get(marks, F.col("_group")) == F.col("_place.h")), F.array(own, guest)).otherwise(F.array(own))))
     order = Window.partitionBy("_at.group").orderBy("_at.turn", F.col("_place").desc(), "_at.guest", text_col)
     placed = placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).where("NOT _at.guest")
     return placed.drop("_place", "_group", "_at")
