@@ -10,12 +10,14 @@ pass reads block perm(j), where perm is a swap-or-not shuffle keyed by source an
 of the block indexes that each row computes alone. Slots and blocks meet in a join by index.
 
 Offsets are prefix sums in two levels (within hashed buckets of about sqrt(rows) rows, then over the
-buckets of a source), so no task holds a source; slots are made in runs of RUN. Only DataFrame
-functions are used.
+buckets of a source), so no task holds a source; slots are made in runs of RUN. Rows are laid out by a
+hash of id and text. Rows that repeat both more often than a bucket has rows, and rows without words,
+are dealt by row number instead, so no repeated row fills a bucket. Only DataFrame functions are used.
 
 Defined results: a null or blank text has size 0 and takes 0; a null source is a source of its own,
 the last in order; a source of size 0 has target 0. Repeated rows and ids are separate rows, each
-laid out and taken on its own. The same rows with the same ids in the same files give the same mix.
+laid out and taken on its own. The same rows give the same mix in whatever order and files they stand;
+only rows dealt by number, and those that differ in other columns alone, go by their place in the files.
 An empty table gives an empty result. Columns other than the id, text and source are not read.
 """
 
@@ -74,18 +76,21 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: str = "mix-1", shard_slots: int = SHARD_SLOTS) -> Mix:
-    """The mix of rows (_row: unique and stable, doc_id, source, size). weights go round the sources
+    """The mix of rows (as measured() gives them, _row unique and stable). weights go round the sources
     in order of code points, null last; a shard has about shard_slots slots."""
     sized = sized.withColumns({"_source": F.coalesce(F.concat(F.lit("s:"), "source"), F.lit("n")), "size": F.col("size").cast("long")})
     count = sized.count()
     per_bucket = max(512, int(count**0.5))
-    sized = sized.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(max(1, count // per_bucket)))).repartition("_bucket")
+    # at most count / per_bucket keys, so sqrt(count): a bounded broadcast
+    often = sized.where("size > 0").groupBy("_key").agg(F.count(F.lit(1)).alias("_often")).where(F.col("_often") > per_bucket)
+    dealt = F.when((F.col("size") == 0) | F.col("_often").isNotNull(), F.col("_row")).otherwise(F.col("_key"))
+    sized = sized.join(F.broadcast(often), "_key", "left").withColumn("_bucket", F.pmod(F.xxhash64(dealt), F.lit(max(1, count // per_bucket)))).repartition("_bucket")
     totals = sized.groupBy("_bucket", "_source", "source").agg(F.sum("size").alias("_sum"))
     sources = _targets(totals.groupBy("_source", "source").agg(F.sum("_sum").alias("source_size")), weights, share, most)
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_bucket", "_source", F.coalesce(F.sum("_sum").over(ahead(Window.partitionBy("_source").orderBy("_bucket"))), F.lit(0)).alias("_base"))
     bases = bases.join(sources.drop("source"), "_source")
-    within = F.coalesce(F.sum("size").over(ahead(Window.partitionBy("_bucket", "_source").orderBy("_row"))), F.lit(0))
+    within = F.coalesce(F.sum("size").over(ahead(Window.partitionBy("_bucket", "_source").orderBy("_key", "_row"))), F.lit(0))
     rows = sized.withColumn("_within", within).join(bases, ["_bucket", "_source"])
     rows = rows.select("_row", "doc_id", "size", "source_size", "target", "_source", (F.col("_base") + F.col("_within")).alias("_start"))
 
@@ -113,9 +118,14 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     return Mix(rows, slots, parts)
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """_row, doc_id, source, size (words) of every row, written, so that _row stays."""
-    return written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).alias("size")))
+def measured(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """_row, doc_id, source, _key (hash of id and text), size (words) of every row."""
+    return docs.select(row.alias("_row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(id_col, text_col).alias("_key"), F.size(words(F.col(text_col))).alias("size"))
+
+
+def sizes(docs: DataFrame, **columns) -> DataFrame:
+    """measured(), written, so that _row stays."""
+    return written(measured(docs, F.monotonically_increasing_id(), **columns))
 
 
 def counts(mixed: Mix) -> DataFrame:
@@ -136,7 +146,7 @@ def blocks(docs: DataFrame, **settings) -> DataFrame:
     """The mix as blocks: shard, source, pass, block, n_words, text of every slot, a block's words as
     they stand in their documents, those of different documents with a line break between."""
     kept = written(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text"))
-    mixed = mix(kept.select("_row", "doc_id", "source", F.size(words(F.col("text"))).alias("size")), **settings)
+    mixed = mix(measured(kept, F.col("_row")), **settings)
     starts = mixed.rows.select("_row", "_start")
     cut = mixed.parts.join(kept.select("_row", "source", "text"), "_row").join(starts, "_row").select(
         "shard", "source", "pass", "block", "_start", (F.col("end") - F.col("begin")).alias("n"), F.regexp_replace(F.array_join(_sliced(pieces(F.col("text")), F.col("begin"), F.col("end")), ""), r"^[\x20\x09-\x0D]+", "").alias("text")
@@ -151,7 +161,7 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     other columns stay, but n_chars follows the text."""
     row, spans_ = (unused(docs, x) for x in ("_row", "_spans"))
     kept = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    sized = written(kept.select(F.col(row).alias("_row"), "doc_id", "source", F.size(words(F.col("text"))).alias("size")))
+    sized = written(measured(kept, F.col(row)))
     mixed = mix(sized, **settings)
     spans = mixed.parts.groupBy("_row", "pass").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"), F.sum(F.col("end") - F.col("begin")).alias("n"))
     spans = spans.join(sized.select("_row", "size"), "_row").select(F.col("_row").alias(row), F.struct("spans", (F.col("n") == F.col("size")).alias("whole")).alias(spans_))

@@ -412,6 +412,28 @@ def test_the_mix_keeps_layout_and_columns(spark):
     assert mixing.mixed_texts(docs.where("doc_id > 90")).count() == 0
 
 
+def test_the_mix_is_the_same_from_other_files(spark):
+    rows = [(i % 300, " ".join(f"d{i}w{j}" for j in range(i % 40)), f"s{i % 3}", 0) for i in range(900)] + [(7, "same words here", "s1", 0)] * 5 + [(None, None, None, 0)] * 5
+    mixed = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(seed + 1)
+        mixed.append(sorted(map(str, mixing.mixed_texts(written(docs), block=16).collect())))
+    assert mixed[0] == mixed[1]
+    assert len(mixed[0]) > 900
+
+
+def test_a_row_repeated_beyond_a_bucket_is_mixed_whole(spark, table_of):
+    rows = [(1, "a b c", "s0")] * 1500 + [(2, "d e", "s1")] * 700 + [(None, None, None)] * 1500 + [(i, f"w{i} x", "s1") for i in range(3, 300)]
+    got = mixing.op2_mixing(spark, table_of(rows)).collect()
+    assert len(got) == len(rows)
+    assert {r["source_size"] for r in got} == {4500, 1994, 0}
+    for size in (4500, 1994):
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+
+
 def test_shards_hold_the_mix(spark):
     docs = written(spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(97)), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string"))
     made = mixing.blocks(docs, block=8, shard_slots=100).collect()
