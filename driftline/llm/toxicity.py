@@ -117,29 +117,38 @@ def _chosen(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def _paired(docs: list[np.ndarray], y: np.ndarray, met: np.ndarray, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The buckets of met (with their counts) that have a pair in met whose share of label 1 lies beyond
     the sample's, those of both buckets and that of their log odds added. All pairs are counted."""
-    at = np.full(BUCKETS, -1, np.int32)
+    at, size = np.full(BUCKETS, -1, np.int32), len(docs)
     at[met] = np.arange(len(met))
-    kept = [p[p >= 0] for p in (at[x] for x in docs)]
-    small = np.uint16 if max(len(met), len(docs)) < 1 << 16 else np.int32
-    column, row = np.concatenate(kept).astype(small), np.repeat(np.arange(len(docs), dtype=small), [len(x) for x in kept])
-    order = column.argsort(kind="stable")
-    column, row = column[order], row[order]
+    # one number a term of a document, column * documents + row, sorted in place: the driver holds no more
+    kind = np.uint32 if len(met) * size < 1 << 32 else np.int64
+    cells, end = np.empty(int(n.sum()), kind), 0
+    for row, x in enumerate(docs):
+        places = at[x]
+        places = places[places >= 0].astype(kind)
+        begin, end = end, end + len(places)
+        cells[begin:end] = places * kind(size) + kind(row)
+    cells.sort()
     share, rates = y.mean(), ((ones + y.mean()) / (n + 1)).astype(np.float32)
     odds, base, positive = np.log(rates / (1 - rates)), np.float32(np.log(share / (1 - share))), np.flatnonzero(y)
 
     def dense(begin: int) -> np.ndarray:
-        part = slice(*np.searchsorted(column, (begin, begin + COUNTED)))
-        out = np.zeros((len(docs), min(COUNTED, len(met) - begin)), np.float32)
-        out[row[part], column[part] - begin] = 1
+        end = min(begin + COUNTED, len(met))
+        part = cells[slice(*np.searchsorted(cells, np.array([begin * size, end * size], kind)))]
+        out = np.zeros((end - begin, size), np.float32)
+        out.ravel()[part - kind(begin * size)] = 1
         return out
 
+    def counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return left @ right.T, left[:, positive] @ right[:, positive].T
+
     found = np.zeros(len(met), bool)
     for i in range(0, len(met), COUNTED):
         left = dense(i)
         for j in range(i, len(met), COUNTED):
             right = left if i == j else dense(j)
-            together, both = left.T @ right, left[positive].T @ right[positive]
-            a, b = np.nonzero(together >= 3)
+            together, both = counted(left, right)
+            # no pair closer to the sample's share than that can be far from the rates below
+            a, b = np.nonzero((together >= 3) & (np.abs(both - np.float32(share) * together) >= 0.7 * PAIR_EVIDENCE))
             c, p, x, y_ = together[a, b], both[a, b], a + i, b + j
             added = 1 / (1 + np.exp(base - odds[x] - odds[y_]))
             high = np.maximum(np.maximum(rates[x], rates[y_]), np.maximum(added, share))
