@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from driftline.config import SIDECAR
 from driftline.schema import SIGNATURE
@@ -53,15 +53,40 @@ def rolling_parts(data: bytes, n: int, part: int = 1 << 20) -> Iterator[tuple[in
         yield at, rolling_all(view[at : at + part + n - 1], n)
 
 
+def rolling_blocks(data: bytes, n: int, part: int = 1 << 20) -> np.ndarray:
+    """The rolling checksum of every block of n bytes, the last one maybe short, `part` bytes of them at a time."""
+    whole, step = len(data) // n, max(part // n, 1)
+    if step == 1:
+        return np.array([rolling(data[i : i + n]) for i in range(0, len(data), n)], np.int64)
+    out = np.empty(-(-len(data) // n), np.int64)
+    cut, deep = np.frombuffer(data, np.uint8, whole * n).reshape(whole, n), np.arange(n, 0, -1, dtype=np.uint32)
+    for i in range(0, whole, step):  # modulo 2^32, of which 16 bits count
+        x = cut[i : i + step].astype(np.uint32)
+        out[i : i + len(x)] = (x @ deep & np.uint32(0xFFFF)).astype(np.int64) << 16 | (x.sum(axis=1, dtype=np.uint32) & np.uint32(0xFFFF))
+    if whole < len(out):
+        out[-1] = rolling(data[whole * n :])
+    return out
+
+
+def quick_blocks(data: bytes, n: int) -> np.ndarray:
+    """XXH3 of 64 bits of every block, as longs: tells most different blocks apart before their strong hashes are compared."""
+    return np.array([xxhash.xxh3_64_intdigest(data[i : i + n]) for i in range(0, len(data), n)], np.uint64).view(np.int64)
+
+
 @pandas_udf(LongType())
 def rolling_checksum(data: pd.Series) -> pd.Series:
     return data.map(lambda x: rolling(bytes(x)))
 
 
-@pandas_udf(LongType())
-def quick_hash(data: pd.Series) -> pd.Series:
-    """XXH3 of 64 bits, as a long: tells most different blocks apart before their strong hashes are compared."""
-    return data.map(lambda x: int(np.uint64(xxhash.xxh3_64_intdigest(bytes(x))).astype(np.int64)))
+def by_block(of: Callable[[bytes, int], np.ndarray], size: int) -> Callable[..., Column]:
+    """of(blob, size) of a column of blobs: an array with a long for each block. Blobs go to Python before
+    they are cut, as a function of cut blocks would queue the whole blob once for every block of it."""
+
+    @pandas_udf(ArrayType(LongType()))
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: of(bytes(x), size))
+
+    return run
 
 
 def rolling_checksum_sql(data: Column) -> Column:
@@ -83,9 +108,11 @@ def blocks(blobs: DataFrame, size: int) -> DataFrame:
 
 def signature(blobs: DataFrame, size: int, quick: bool = False) -> DataFrame:
     """The signature rows of every blob, if asked for with a quick hash. The strong hash is SHA-256."""
-    cut = blocks(blobs, size)
-    more = [quick_hash("data").alias("quick_hash")] if quick else []
-    return cut.select("path", "block_index", "offset", "size", rolling_checksum("data").alias("rolling"), *more, F.sha2("data", 256).alias("strong"))
+    hashes = {"rolling": rolling_blocks} | ({"quick_hash": quick_blocks} if quick else {})
+    n, i = F.octet_length("content"), F.col("i").cast("long")
+    rows = blobs.where(n > 0).select("path", "content", n.alias("n"), *(by_block(of, size)("content").alias(k) for k, of in hashes.items()))
+    cut = rows.select("path", "content", "n", *hashes, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))).alias("i"))
+    return cut.select("path", i.alias("block_index"), (i * size).alias("offset"), F.least(F.lit(size), F.col("n") - i * size).cast("int").alias("size"), *(F.col(k)[F.col("i")].alias(k) for k in hashes), F.sha2(F.substring("content", F.col("i") * size + 1, F.lit(size)), 256).alias("strong"))
 
 
 def etag(content: Column) -> Column:

@@ -54,6 +54,20 @@ def test_blocks_and_headers(spark):
     assert same.where("x <> y").count() == 0
 
 
+def test_checksums_are_made_before_blobs_are_cut(spark):
+    """Else the whole blob is queued, and spilled, once for each of its blocks."""
+    data = random.Random(5).randbytes(70_001)
+    for n in (1, 7, 256, 70_000, 80_000):
+        for part in (1, 512, 1 << 20):
+            assert S.rolling_blocks(data, n, part).tolist() == [S.rolling(data[i : i + n]) for i in range(0, len(data), n)]
+    assert S.rolling_blocks(b"\xff" * (3 << 20), 1 << 19).tolist() == [S.rolling(b"\xff" * (1 << 19))] * 6
+    rows = S.signature(blobs(spark, a=data, e=b""), 256, quick=True).select("path", "block_index", "size", "rolling", "quick_hash").cache()
+    want = [(i, len(x), S.rolling(x), xxhash.xxh3_64_intdigest(x)) for i in range(274) for x in [data[256 * i : 256 * i + 256]]]
+    assert [(r["block_index"], r["size"], r["rolling"], r["quick_hash"] % 2**64) for r in rows.orderBy("block_index").collect()] == want
+    plan = S.signature(blobs(spark, a=data), 256).select("path", "rolling")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("ArrowEvalPython")
+
+
 def test_quick_hashes(spark):
     rows = S.signature(blobs(spark, a=b"hello world, this is a test"), 10, quick=True).orderBy("block_index").collect()
     assert [r["quick_hash"] % 2**64 for r in rows] == [xxhash.xxh3_64_intdigest(b"hello world, this is a test"[i : i + 10]) for i in (0, 10, 20)]
