@@ -205,12 +205,12 @@ def multipart_restored(spark: SparkSession, d: str) -> DataFrame:
     """New blobs uploaded in parts, broken off, resumed with the parts that were left, and read back."""
     where = fresh(spark, "tree")
     blobs = X.blobs(spark, d, "new").where(F.octet_length("content") > 0)
-    parts = written(I.chunks(blobs, MOST).select("path", (F.col("chunk_index") + 1).cast("int").alias("part_number"), "data"))
+    parts = I.chunks(blobs, MOST).select("path", (F.col("chunk_index") + 1).cast("int").alias("part_number"), "data")
     upload = multipart.create(where)
     done = multipart.upload_parts(parts.where("(length(path) + part_number) % 3 = 0"), where, upload)
-    left = R.remaining_parts(parts, done)
+    left = R.remaining_parts(parts, done.hint("merge"))  # compressed, the list looks small enough for a broadcast
     log = multipart.complete(done.unionByName(multipart.upload_parts(left, where, upload)), where, upload)
-    return log.join(stores.contents(log, where), "path").select("path", F.col("bytes").alias("size"), F.sha2("content", 256).alias("digest"))
+    return stores.contents(log, where, ("bytes",)).select("path", F.col("bytes").alias("size"), F.sha2("content", 256).alias("digest"))
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import stat
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from driftline.sources import inventory as I
 
 #: Directories that the driver opens at most, so that the rest is dealt to tasks.
 OPENED = 256
+#: Bytes of contents that are passed on together; a larger file goes alone.
+HELD = 4 << 20
 _SCHEME = re.compile(r"^([A-Za-z0-9]+)://")
 
 
@@ -109,26 +112,29 @@ def inventory(spark: SparkSession, location: str, listing: str | None = None, al
     return spark.read.format("store_listing").option("location", location).load()
 
 
-def contents(files: DataFrame, location: str) -> DataFrame:
-    """path, content of the files (path) under a location; null where there is none."""
+def contents(files: DataFrame, location: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, content of the files (path) under a location, after it the columns to keep; content is null
+    where there is none. What it will hold can't be told from its input: a join to it may be made by a
+    broadcast of all contents, so digests and columns to keep belong before joins."""
 
-    def run(batches):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = opened(location)
         for batch in batches:
-            for path in batch["path"]:
+            begin, held, size = 0, [], 0
+            for end, path in enumerate(batch["path"], 1):
                 try:
                     with store.open_input_stream(f"{root}/{path}") as f:
-                        yield _frame(path, f.read())
+                        held.append(f.read())
                 except FileNotFoundError:
-                    yield _frame(path, None)
-
-    return files.select("path").mapInPandas(run, "path string, content binary")
-
-
-def _frame(path: str, data: bytes | None):
-    import pandas as pd
-
-    return pd.DataFrame({"path": [path], "content": [data]})
+                    held.append(None)
+                size += len(held[-1] or b"")
+                if size >= HELD or end == len(batch):
+                    yield batch[begin:end].assign(content=held)
+                    begin, held, size = end, [], 0
+
+    rows = files.select("path", *keep)
+    kept = "".join(f", `{x.name}` {x.dataType.simpleString()}" for x in rows.schema[1:])
+    return rows.mapInPandas(run, f"path string, content binary{kept}")
 
 
 def exists(paths: DataFrame, listed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import zstandard
 
 from driftline.__main__ import main
+from driftline.catalog import multipart_restored
 from driftline.config import Options, load, merge, save
 from driftline.operators import delta as D
 from driftline.operators import signature as S
@@ -139,6 +140,46 @@ def test_parts(spark, tmp_path):
     assert read(where) == {"f": b"onetwo", "g/h": b"x"}
 
 
+def test_parts_share_files_and_are_dropped_in_turn(spark, tmp_path):
+    where = str(tmp_path)
+    rows = [(f"d{i % 3}/{i}", n, f"{i}:{n};".encode()) for i in range(40) for n in range(1, 8)]
+    parts = spark.createDataFrame(rows, "path string, part_number int, data binary").coalesce(2)
+    whole = {f"d{i % 3}/{i}": "".join(f"{i}:{n};" for n in range(1, 8)).encode() for i in range(40)}
+    upload = multipart.create(where)
+    done = multipart.upload_parts(parts.withColumn("data", S.F.expr("CASE WHEN part_number = 2 THEN CAST('spoilt' AS BINARY) ELSE data END")), where, upload)
+    assert len(read(where)) <= 2 * (multipart.LOTS + 1) < done.count()  # not a block of disk a part
+    done = done.where("part_number <> 2").unionByName(multipart.upload_parts(parts.where("part_number = 2"), where, upload))
+    # without the file of a lot, its paths stay as they are, and the parts of later lots stay
+    store = os.path.join(where, upload)
+    lots = sorted(x for x in os.listdir(store) if x != "index")
+    lost = [os.path.join(store, lots[3], x) for x in os.listdir(os.path.join(store, lots[3]))]
+    for x in lost:
+        os.rename(x, x + ".away")
+    log = multipart.complete(done, where, upload).collect()
+    failed = {r["path"] for r in log if r["error"] == "parts are missing"}
+    assert failed and {k: v for k, v in read(where).items() if not k.startswith(upload)} == {k: v for k, v in whole.items() if k not in failed}
+    assert sorted(x for x in os.listdir(store) if x != "index") == lots[3:]
+    for x in lost:
+        os.rename(x + ".away", x)
+    log = multipart.complete(done, where, upload)
+    assert log.where("error IS NOT NULL").isEmpty() and {r["path"]: r["bytes"] for r in log.collect()} == {k: len(v) for k, v in whole.items()}
+    assert read(where) == whole
+
+
+def test_contents_are_read_without_a_join(spark, tmp_path):
+    """A join's estimate is that of the listing, so that all contents could be broadcast."""
+    (tmp_path / "f").write_bytes(b"one")
+    (tmp_path / "large").write_bytes(bytes(stores.HELD + 1))
+    files = spark.createDataFrame([("large", 7), ("f", 8), ("none", None), ("f", 9)], "path string, n long").coalesce(1)
+    found = [(r["path"], r["n"], None if r["content"] is None else len(r["content"])) for r in stores.contents(files, str(tmp_path), ("n",)).collect()]
+    assert found == [("large", 7, stores.HELD + 1), ("f", 8, 3), ("none", None, None), ("f", 9, 3)]
+    documents = spark.createDataFrame([(i, "words " * 700, "en", "s", 4200) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    restored = multipart_restored(spark, str(tmp_path))
+    assert "Join" not in restored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["size"] for r in restored.collect()) == [4200] * 5 + [4201] * 2 + [4205] * 2
+
+
 def test_saved_uploads(spark, tmp_path):
     store = Uploads(spark, str(tmp_path / "u"))
     assert store.pending().count() == 0
